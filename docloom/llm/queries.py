@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, licenses, quality, simhash, substrings, topk
+from . import bpe, html, language, licenses, mixing, quality, simhash, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (licenses.op1_license_scan, simhash.op2_simhash, topk.op3_exact_topk, bpe.op4_byte_bpe, substrings.op5_substring_dedup, quality.op6_quality_rules, html.op7_html_extraction, language.op9_language_id, bpe.op10_token_counts)
+    found = (licenses.op1_license_scan, simhash.op2_simhash, topk.op3_exact_topk, bpe.op4_byte_bpe, substrings.op5_substring_dedup, quality.op6_quality_rules, html.op7_html_extraction, mixing.op8_source_mixing, language.op9_language_id, bpe.op10_token_counts)
     return {f.__name__: f for f in found}
 
 
