@@ -11,7 +11,7 @@ MIME = {
     ".markdown": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".json": "application/json", ".csv": "text/csv",
 }
 EXTENSION = {mime: min((e for e, m in MIME.items() if m == mime), key=len) for mime in MIME.values()} | {"text/html": ".html"}
-_PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+|\[[^\]]*\])(:\d*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+_PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\[\]]+)(:\d*)?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 
 
 def part(url: Column, i: int) -> Column:

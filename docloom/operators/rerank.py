@@ -76,7 +76,8 @@ def rerank(candidates: DataFrame, provider: str, top: int = DEFAULT_OUT, cap: in
 
 
 def whole_word_count(text: Column, token: str) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(rf"\b{token}\b"))
+    """Matches between ASCII word boundaries."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9_])\Q{token}\E(?![a-z0-9_])"))
 
 
 def feature_scores(candidates: DataFrame, tokens: list[str], boosts: DataFrame) -> DataFrame:

@@ -89,6 +89,11 @@ def ranked(df: DataFrame, score: str, top: int) -> DataFrame:
 # --- lexical leg ---
 
 
+def starts(prefix: str, field: str | None = None):
+    """A test, for higher-order functions, of tokens or a field of theirs."""
+    return lambda x: (x[field] if field else x).startswith(prefix)
+
+
 def lexical_search(chunks: DataFrame, query: str, top: int = LEXICAL_TOP) -> DataFrame:
     """chunk_id, tf, score, rank of chunks (chunk_id, text) that have, for every term of the query, a token that starts with
     it. tf: tokens that start with some term; score: tf over the largest of those returned (not Okapi BM25)."""
@@ -96,7 +101,7 @@ def lexical_search(chunks: DataFrame, query: str, top: int = LEXICAL_TOP) -> Dat
     tokens = chunks.select("chunk_id", text.terms(F.col("text")).alias("t"))
     match = F.lit(True)
     for w in wanted:
-        match = match & F.exists("t", lambda x, w=w: x.startswith(w))
+        match = match & F.exists("t", starts(w))
     some = lambda x: F.array_max(F.array(*[x.startswith(w) for w in wanted]))
     hit = tokens.filter(match).select("chunk_id", F.size(F.filter("t", some)).cast("long").alias("tf"))
     return max_normalised(hit.orderBy(F.desc("tf"), "chunk_id").limit(check_top(top)), "tf")
@@ -144,7 +149,7 @@ def cover_density_search(chunks: DataFrame, query: str, top: int = LEXICAL_TOP)
     wanted = [t.lower() for t in text.query_terms(query)]
     tokens = chunks.select("chunk_id", text.terms(F.col("text")).alias("t"))
     numbered = F.transform("t", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    where = F.array(*[F.transform(F.filter(numbered, lambda s, w=w: s["x"].startswith(w)), lambda s: s["i"]) for w in wanted])
+    where = F.array(*[F.transform(F.filter(numbered, starts(w, "x")), lambda s: s["i"]) for w in wanted])
     hits = tokens.select("chunk_id", where.alias("w")).filter(F.forall("w", lambda p: F.size(p) > 0))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,8 +66,8 @@ def docx_text(content: bytes) -> str:
 
 
 _MARKS = [
-    (re.compile(r"^(```|~~~)[^\n]*\n(.*?)^\1[^\n]*$", re.S | re.M), r"\2"), (re.compile(r"^#{1,6}\s+(.*?)\s*#*$", re.M), r"\1"), (re.compile(r"^\s{0,3}>\s?", re.M), ""), (re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+", re.M), ""),
-    (re.compile(r"^\s*(?:[-*_]\s*){3,}$", re.M), ""), (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__)(.+?)\1"), r"\2"), (re.compile(r"(?<![\w*])[*_](\S.*?)[*_](?![\w*])"), r"\1"), (re.compile(r"`([^`]+)`"), r"\1"),
+    (re.compile(r"^(```|~~~)[^\n]*\n(.*?)^\1[^\n]*$", re.S | re.M), r"\2"), (re.compile(r"^#{1,6}[ \t]+(.*?)[ \t]*#*$", re.M), r"\1"), (re.compile(r"^ {0,3}> ?", re.M), ""), (re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", re.M), ""),
+    (re.compile(r"^[ \t]*(?:[-*_][ \t]*){3,}$", re.M), ""), (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__)(.+?)\1"), r"\2"), (re.compile(r"(?<![\w*])[*_](\S.*?)[*_](?![\w*])"), r"\1"), (re.compile(r"`([^`]+)`"), r"\1"),
 ]
 
 
