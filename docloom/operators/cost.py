@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import budget_state, price
@@ -74,14 +74,16 @@ def new_alerts(candidates: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def replay_alerts(usage: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The alerts that a log of usage would have raised: after each request the month's spend so far is held against the
-    budget, and an alert is silent if one of its type was raised less than a day before. Runs by month; only requests that
-    pass a threshold reach Python."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.date_trunc("month", "created_at")).orderBy("created_at", "usage_id").rowsBetween(Window.unboundedPreceding, 0)
-    over = usage.withColumn("current_spend_usd", F.sum("cost_usd").over(w).cast("double")).withColumn("alert_type", budget_state(F.col("current_spend_usd"), budget)).filter("alert_type is not null")
+    budget, and an alert is silent if one of its type was raised less than a day before. Spend is summed by hour and
+    then within hours, so no task has more than an hour's requests; only requests that pass a threshold reach Python."""
+    hour = F.date_trunc("hour", "created_at")
+    month = Window.partitionBy(F.date_trunc("month", "hour")).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = usage.groupBy(hour.alias("hour")).agg(F.sum("cost_usd").alias("s")).select("hour", F.coalesce(F.sum("s").over(month), F.lit(0)).alias("before"))
+    within = Window.partitionBy("hour").orderBy("created_at", "usage_id").rowsBetween(Window.unboundedPreceding, 0)
+    spent = usage.withColumn("hour", hour).withColumn("so_far", F.sum("cost_usd").over(within)).join(before, "hour")
+    over = spent.withColumn("current_spend_usd", (F.col("before") + F.col("so_far")).cast("double")).withColumn("alert_type", budget_state(F.col("current_spend_usd"), budget)).filter("alert_type is not null")
     # of the requests of an hour only the first can raise an alert
-    hourly = over.groupBy("alert_type", F.date_trunc("hour", "created_at").alias("hour")).agg(F.min(F.struct("created_at", "usage_id", "current_spend_usd")).alias("first"), F.max(F.struct("created_at", "usage_id", "current_spend_usd")).alias("last"))
+    hourly = over.groupBy("alert_type", "hour").agg(F.min(F.struct("created_at", "usage_id", "current_spend_usd")).alias("first"), F.max(F.struct("created_at", "usage_id", "current_spend_usd")).alias("last"))
     both = hourly.select("alert_type", F.explode(F.array("first", "last")).alias("x")).select("alert_type", "x.*").distinct()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

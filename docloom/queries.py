@@ -394,10 +394,10 @@ def ingested_documents(spark, sf):
     return made.groupBy("doc_id", "embedding_provider").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\.html$') THEN 'text/html' ELSE 'application/octet-stream' END AS content_type, CASE WHEN regexp_matches(url, '\\.html$') THEN '.html' ELSE '.bin' END AS extension FROM pages WHERE NOT regexp_matches(url, '[?#]') AND regexp_matches(url, '/\\d+(\\.html)?$')")
+@query("SELECT page_id, CASE WHEN e = '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS content_type, CASE WHEN e = '' THEN '.bin' ELSE e END AS extension FROM (SELECT page_id, regexp_extract(regexp_extract(url, '([^/]*)/*$', 1), '[^.](\\.[^.]*)$', 1) AS e FROM pages)")
 def content_types(spark, sf):
-    p = load(spark, sf, "pages").filter(~F.col("url").rlike("[?#]") & F.col("url").rlike(r"/\d+(\.html)?$"))
-    return p.select("page_id", urls.content_type(F.col("url"), F.lit(None).cast("string")).alias("content_type"), urls.file_extension(urls.content_type(F.col("url"), F.lit(None).cast("string")), F.col("url")).alias("extension"))
+    kind = urls.content_type(F.col("url"), F.lit(None).cast("string"))
+    return load(spark, sf, "pages").select("page_id", kind.alias("content_type"), urls.file_extension(kind, F.col("url")).alias("extension"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'markdown' ELSE 'text' END AS extractor FROM documents")
