@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators import embed, rerank, search, synthesis
 from .config import Config
 
@@ -69,6 +70,19 @@ def search_rag(
     return search.ranked(scored, "similarity", 50).drop("query_id").orderBy("rank")
 
 
+def snippet_vectors(results: DataFrame, provider: str = "ollama") -> DataFrame:
+    """results (text) with embedding, of the first 600 characters of each text. Where neither the provider nor the local one
+    answers, all get vectors of their characters, so that they can still be told apart."""
+    given = results.drop("embedding").withColumns({"__snippet": F.substring("text", 1, synthesis.EMBEDDED), "__provider": F.lit(provider)})
+    carry = [c for c in given.columns if c != "__provider"]
+    try:
+        made = embed.embed(given, carry, "__snippet", "__provider")
+        made.write.format("noop").mode("overwrite").save()  # a search's results: a few rows
+        return made.select(*[c for c in carry if c != "__snippet"], F.col("embedding").cast("array<double>").alias("embedding"))
+    except Exception:
+        return given.withColumn("embedding", vectors.character_vector(F.col("__snippet"))).drop("__snippet", "__provider")
+
+
 def compare(results: DataFrame, query: str, as_of: datetime, config: Config, make_judge: Callable | None = None, most: int = 15) -> dict[str, DataFrame]:
     """approaches, conflicts and recommended of a query's results (query_id, pos, text, title, url, quality, verified,
     published, topic, method, embedding)."""

@@ -12,7 +12,7 @@ from docloom.functions import rules, text, urls, vectors
 from docloom.operators import catalog, chunk, cost, embed, evaluate, rerank, search, synthesis
 from docloom.plans.config import Config
 from docloom.plans.ingest import context_of, document_metadata, ingest, status_log
-from docloom.plans.search import compare, resolve_mode
+from docloom.plans.search import compare, resolve_mode, snippet_vectors
 from docloom.plans.tools import Library
 from docloom.sources import files, web
 from docloom.streaming import flows
@@ -351,6 +351,11 @@ def test_embedding(spark, monkeypatch):
     df = spark.createDataFrame([(1, "one two", "openai"), (2, "", None)], "id int, text string, provider string")
     rows = {r.id: r for r in embed.embed(df, ["id"], delay=0).collect()}
     assert rows[1].used_fallback and rows[1].embedding_provider == "ollama" and len(rows[1].embedding) == 768 and not rows[2].used_fallback
+    texts = spark.createDataFrame([(1, "A" * 700)], "id int, text string")
+    assert len(snippet_vectors(texts, "openai").first().embedding) == 768
+    embed.register("ollama", lambda: broken)
+    monkeypatch.setattr(embed, "RETRIES", 0)
+    assert snippet_vectors(texts, "openai").first().embedding == [65 / 255] * 16
     tries = []
     with pytest.raises(RuntimeError):
         embed.with_retries(lambda t: tries.append(1) or broken(t), ["x"], delay=0)
