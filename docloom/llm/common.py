@@ -53,25 +53,45 @@ def rows(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.Reco
             yield batch.slice(at, most)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), memoised; emptied when it grows past its bound."""
-
-    BOUND = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: Odd multiplier of the polynomial window hashes.
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the polynomial hashes of windows and words.
+BASE, LETTER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of LETTER and of its inverse, as many as were needed
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((LETTER, pow(LETTER, -1, 1 << 64))):
+            _POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+    return _POWERS
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) byte of each word."""
+    edge = np.flatnonzero(np.diff(_BLANK[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(data: bytes, piece: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of every word of a text; equal words have equal hashes in every text. Sums of bytes times powers are
+    taken for all words at once, for pieces of a long text that end between words."""
+    starts, ends = word_spans(data)
+    letters, out, i = np.frombuffer(data, np.uint8), [], 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + piece, "right")))
+        up, down = _powers(int(ends[j - 1]) - at + 1)
+        n = int(ends[j - 1]) - at
+        sums = np.r_[np.uint64(0), np.cumsum((letters[at : at + n].astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)]
+        s, e = starts[i:j] - at, ends[i:j] - at
+        out.append((sums[e] - sums[s]) * down[s])
+        i = j
+    h = np.concatenate(out) if out else np.empty(0, np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, covered, rows, stored, table, text_bytes, window_hashes
+from .common import covered, rows, stored, table, text_bytes, window_hashes, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 SYMBOLS = b"#*$%&|<>"
@@ -42,10 +42,10 @@ def rules() -> dict[str, Column]:
     }
 
 
-def repeated_words(words: list[bytes], hashes: WordHashes, k: int = REPEAT_WINDOW) -> int:
+def repeated_words(data: bytes, words: list[bytes], k: int = REPEAT_WINDOW) -> int:
     """Words in windows of k words that are found twice or more in the text, the first included. Hashes only find
     candidates; equal windows are confirmed word by word."""
-    h = window_hashes(hashes.of(words), k)
+    h = window_hashes(word_hashes(data), k)
     if len(h) < 2:
         return 0
     order = np.argsort(h, kind="stable")
@@ -60,7 +60,7 @@ def repeated_words(words: list[bytes], hashes: WordHashes, k: int = REPEAT_WINDO
     return int(covered(starts, k, len(words)).sum()) if len(starts) else 0
 
 
-def text_measures(data: bytes, hashes: WordHashes) -> tuple[int, ...]:
+def text_measures(data: bytes) -> tuple[int, ...]:
     """MEASURES of one text; words are runs of bytes other than ASCII white space."""
     words = data.split()
     solid = data.translate(None, b" \t\n\v\f\r")
@@ -69,7 +69,7 @@ def text_measures(data: bytes, hashes: WordHashes) -> tuple[int, ...]:
     upper = len(solid) - len(solid.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if text.isascii() else sum(map(str.isupper, text)) if not text.islower() else 0
     return (
         len(words), len(text), len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-        repeated_words(words, hashes), len(lines), upper, data.count(b"!!"),
+        repeated_words(data, words), len(lines), upper, data.count(b"!!"),
     )
 
 
@@ -80,9 +80,8 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in rows(batches):
-            got = [text_measures(x, hashes) for x in b.column(b.num_columns - 1).to_pylist()]
+            got = [text_measures(x) for x in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)] or [pa.array([], pa.int64())] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, covered, table, text_bytes, text_size, window_hashes
+from .common import covered, table, text_bytes, text_size, window_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 6
 #: Bytes of text in a batch, and for each shard; phrases in an automaton.
@@ -55,9 +55,9 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
 
 
 def send_anchors(batch: pa.Table, b: int, shards: int, window: int, gram: int) -> pa.Table:
-    hashes, ids, anchors = WordHashes(), [], []
+    ids, anchors = [], []
     for doc_id, data in _documents(batch):
-        if doc_id is not None and len(found := np.unique(window_anchors(hashes.of(data.split()), window, gram))):
+        if doc_id is not None and len(found := np.unique(window_anchors(word_hashes(data), window, gram))):
             ids.append(np.full(len(found), doc_id, np.int64))
             anchors.append(found)
     if not anchors:
@@ -98,23 +98,21 @@ def send_stretches(batch: pa.Table, answers: pa.Table, b: int, shards: int, wind
     found: dict[tuple[int, bytes], list[int]] = {}
     if answers.num_rows:
         recurring = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers["blob"].to_pylist()]))
-        hashes = WordHashes()
         for doc_id, data in _documents(batch):
-            words = data.split()
-            if doc_id is None or len(words) < window:
+            if doc_id is None or not len(anchor := window_anchors(word_hashes(data), window, gram)):
                 continue
-            anchor = window_anchors(hashes.of(words), window, gram)
             at = np.minimum(np.searchsorted(recurring, anchor), len(recurring) - 1)
             hit = recurring[at] == anchor
             if not hit.any():
                 continue
+            begins, ends = (x.tolist() for x in word_spans(data))
             edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
             stop = np.r_[edge[1:], len(anchor)]
             picked = hit[edge]
             for s, e, p in zip(edge[picked].tolist(), stop[picked].tolist(), _shard(anchor[edge[picked]], shards).tolist(), strict=True):
                 while s < e:  # repeats in a text can chain windows of one anchor; a stretch has the windows that share it
                     upto = min(e, s + window - gram + 1)
-                    key = p, b" ".join(words[s : upto + window - 1])
+                    key = p, b" ".join(data[begins[s] : ends[upto + window - 2]].split())
                     if (known := found.get(key)) is None:
                         found[key] = [doc_id, doc_id]
                     elif doc_id < known[0]:
@@ -133,22 +131,16 @@ def send_stretches(batch: pa.Table, answers: pa.Table, b: int, shards: int, wind
 def answer_stretches(sent: pa.Table, window: int) -> pa.Table:
     """Stretches with, for each of their windows, the smallest doc_id that has it; only those that some document of the
     batch has after it. Windows are told apart by 64-bit hashes here, word by word in the automata."""
-    hashes, starts, counts = WordHashes(), [], []
-    first, last, at = sent["first"].to_numpy(), sent["last"].to_numpy(), 0
+    counts, first, last = [], sent["first"].to_numpy(), sent["last"].to_numpy()
     texts = sent["words"].combine_chunks()
-    wh, offset = [], 0
+    wh = []
     for chunk in sent.select(["words"]).to_batches(max_chunksize=20_000):
-        cut = [x.split(b" ") for x in chunk.column(0).to_pylist()]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        begin = np.cumsum(sizes) - sizes
-        h = window_hashes(hashes.of([w for c in cut for w in c]), window)
+        some = chunk.column(0).to_pylist()
+        sizes = np.fromiter((x.count(b" ") + 1 for x in some), np.int64, len(some))
+        h = window_hashes(word_hashes(b" ".join(some)), window)
         n = sizes - window + 1  # windows of each stretch
-        inside = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        wh.append(h[inside])
+        wh.append(h[np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         counts.append(n)
-        starts.append(begin + offset)
-        offset += int(sizes.sum())
-        at += len(cut)
     wh, counts = np.concatenate(wh), np.concatenate(counts)
     row = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(wh, kind="stable")
@@ -166,20 +158,32 @@ def answer_stretches(sent: pa.Table, window: int) -> pa.Table:
 
 
 class Phrases:
-    """Automata over the words of phrases. Each word is a character; a pattern is what all windows of a phrase share."""
+    """Automata over the words of phrases. A pattern is GRAM words that all windows of a phrase share.
+
+    A word is written as DIGITS characters, each place with an alphabet of its own: the library looks a character up among
+    a node's children one by one, so few children make it fast, and hits can't begin within a word."""
 
-    def __init__(self, phrases: list[tuple[bytes, list[int]]], window: int):
+    DIGITS = 3
+
+    def __init__(self, phrases: list[tuple[bytes, list[int]]], window: int, gram: int = GRAM):
         import ahocorasick
 
-        self.window, self.letters, self.firsts = window, {}, {}
+        cut = [words.split(b" ") for words, _ in phrases]
+        distinct = sorted(set().union(*cut))
+        base = next(b for b in range(2, 1 << 16) if b**self.DIGITS > len(distinct))
+        letter = [chr(x if x < 0xD800 else x + 0x800) for x in range(1 + self.DIGITS * base)]
+        self.window, self.gram, self.nothing = window, gram, "\0" * self.DIGITS
+        self.codes = {w: "".join(letter[1 + d * base + i // base**d % base] for d in range(self.DIGITS)) for i, w in enumerate(distinct)}
+        self.firsts: dict[str, int] = {}
         patterns: set[str] = set()
-        for words, firsts in phrases:
-            text = "".join([self._letter(w) for w in words.split(b" ")])
-            patterns.add(text[len(text) - window : window])
+        size, d, codes, known = window * self.DIGITS, self.DIGITS, self.codes, self.firsts
+        for words, (_, firsts) in zip(cut, phrases, strict=True):
+            text = "".join([codes[w] for w in words])
+            patterns.add(text[len(text) - size : len(text) - size + gram * d])
             for s, first in enumerate(firsts):
-                key = text[s : s + window]
-                if first < self.firsts.get(key, 1 << 63):
-                    self.firsts[key] = first
+                key = text[s * d : s * d + size]
+                if first < known.get(key, 1 << 63):
+                    known[key] = first
         self.automata, todo = [], sorted(patterns)
         for at in range(0, len(todo), AUTOMATON):
             made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -188,23 +192,18 @@ class Phrases:
             made.make_automaton()
             self.automata.append(made)
 
-    def _letter(self, word: bytes) -> str:
-        if word not in self.letters:
-            n = len(self.letters) + 1
-            self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
-        return self.letters[word]
-
     def removed(self, words: list[bytes], doc_id: int) -> np.ndarray:
         """Mask of the words covered by windows that a smaller doc_id has."""
-        get, w = self.letters.get, self.window
-        text = "".join([get(x, "\0") for x in words])
-        tried, starts, top = -1, [], len(words) - w
+        get, w, g, d, nothing, known = self.codes.get, self.window, self.gram, self.DIGITS, self.nothing, self.firsts.get
+        text = "".join([get(x, nothing) for x in words])
+        starts, top, size = [], len(words) - w, w * d
         for made in self.automata:
             tried = -1
-            for end, length in made.iter(text):
-                for s in range(max(0, tried + 1, end - w + 1), min(end - length + 1, top) + 1):
+            for end, _ in made.iter(text):
+                last = end // d  # the last word of the hit
+                for s in range(max(0, tried + 1, last - w + 1), min(last - g + 1, top) + 1):
                     tried = s
-                    if self.firsts.get(text[s : s + w], doc_id) < doc_id:
+                    if known(text[s * d : s * d + size], doc_id) < doc_id:
                         starts.append(s)
         return covered(np.array(starts, np.int64), w, len(words)) if starts else np.zeros(len(words), bool)
 
@@ -251,7 +250,7 @@ def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: in
         return send_stretches(batch, answers, key[0].as_py(), shards, window, gram)
 
     def remove(key, batch, phrases):
-        known = Phrases(list(zip(phrases["words"].to_pylist(), phrases["firsts"].to_pylist(), strict=True)), window)
+        known = Phrases(list(zip(phrases["words"].to_pylist(), phrases["firsts"].to_pylist(), strict=True)), window, gram)
         cols: list[list] = [[], [], [], []]
         for doc_id, data in _documents(batch):
             words = data.split()
