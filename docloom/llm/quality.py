@@ -5,7 +5,8 @@ labelled documents: one is valid only if an exact binomial test refutes, at leve
 tests made (Bonferroni over strata, rules and cutoffs), that it rejects alpha / number of rules or more of the good
 documents. So with probability 1 - delta no stratum loses more than alpha of its good documents to the rules. Among
 the valid cutoffs of a rule the loosest is taken that rejects nearly as much (`NEAR`) of the bad labelled documents
-as the strictest valid one. A rule without a valid cutoff, or that catches no bad document, is off in that stratum.
+as the strictest valid one. A cutoff that rejects no more bad than good labelled documents is never taken; a rule without
+a cutoff is off in that stratum.
 """
 
 from __future__ import annotations
@@ -30,16 +31,15 @@ NEAR = 0.99
 CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8)
 
 
+#: Measures between 0 and 1 (more is worse): the share of one count in another.
+RULES = {
+    "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars"), "shouts": ("n_shouts", "n_words"),
+}
+
+
 def rules() -> dict[str, Column]:
-    """Measures between 0 and 1 (more is worse) of a row that has MEASURES."""
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return {
-        "symbols": share("n_symbols", "word_chars"),
-        "dup_lines": share("n_dup_lines", "n_lines"),
-        "repeats": share("n_repeat_words", "n_words"),
-        "upper": share("n_upper", "word_chars"),
-        "shouts": share("n_shouts", "n_words"),
-    }
+    """RULES of a row that has MEASURES."""
+    return {r: F.col(a) / F.greatest(F.col(b), F.lit(1)) for r, (a, b) in RULES.items()}
 
 
 def repeated_words(data: bytes, words: list[bytes], k: int = REPEAT_WINDOW) -> int:
@@ -108,11 +108,11 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def choose_cutoffs(counts: list[dict], alpha: float = 0.05, delta: float = 0.05) -> dict[tuple[str, str], float]:
     """(stratum, rule) -> cutoff. counts has for each stratum n_good and, for each rule and cutoff number i,
     good_<rule>_<i> and bad_<rule>_<i>: labelled documents whose measure exceeds the cutoff."""
-    names = list(rules())
+    names = list(RULES)
     level, share, out = delta / max(1, len(counts) * len(names) * len(CUTOFFS)), alpha / len(names), {}
     for c in counts:
         for r in names:
-            valid = [i for i in range(len(CUTOFFS)) if c["n_good"] and binomial_tail(c[f"good_{r}_{i}"], c["n_good"], share) <= level]
+            valid = [i for i in range(len(CUTOFFS)) if c[f"bad_{r}_{i}"] > c[f"good_{r}_{i}"] and binomial_tail(c[f"good_{r}_{i}"], c["n_good"], share) <= level]
             most = max((c[f"bad_{r}_{i}"] for i in valid), default=0)
             if most:
                 out[c["stratum"], r] = CUTOFFS[max(i for i in valid if c[f"bad_{r}_{i}"] >= NEAR * most)]

@@ -204,7 +204,7 @@ def test_binomial_tail():
 
 def test_cutoffs_are_valid_and_loose():
     n, cuts = 5000, range(len(quality.CUTOFFS))
-    zero = {f"{kind}_{r}_{i}": 0 for kind in ("good", "bad") for r in quality.rules() for i in cuts}
+    zero = {f"{kind}_{r}_{i}": 0 for kind in ("good", "bad") for r in quality.RULES for i in cuts}
     few = zero | {"stratum": "few", "n_good": 20} | {f"bad_symbols_{i}": 9 for i in cuts}
     much = zero | {"stratum": "much", "n_good": n}
     for i in cuts:  # the first two reject too many good ones; the bad ones caught fall off after the sixth
