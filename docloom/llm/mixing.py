@@ -2,7 +2,8 @@
 
 A classifier learned from the labelled table gives each document its posterior over the labels' domains. Document rates
 are fitted by distributed projected-gradient least squares so that the expected tokens of each domain, the sum over
-documents of rate * tokens * posterior, meet their targets. Rates start at 1 and are kept nonnegative. A document's rate
+documents of rate * tokens * posterior, meet their targets. Rates start at 1 and are kept nonnegative
+(and, where documents must not be repeated, at most 1). A document's rate
 depends on its posterior and on the steps of the rounds so far alone: each round is one aggregation that brings one
 number for each domain to the driver, and rates are never stored or sent.
 """
@@ -152,23 +153,24 @@ def memberships(docs: DataFrame, classifier: Classifier, carry: list[str]) -> Da
     return given.mapInArrow(run, schema)
 
 
-def rate(history: list[dict[str, float]]) -> Column:
+def rate(history: list[dict[str, float]], most: float | None = None) -> Column:
     """A document's rate after the rounds of history: from 1, less its posterior's product with each round's step, never
-    under 0."""
+    under 0 nor over most."""
     r = F.lit(1.0)
     for step in history:
         r = F.greatest(F.lit(0.0), r - sum((F.col(f"__p_{d}") * F.lit(g / UNIT) for d, g in step.items()), F.lit(0.0)))
+        r = r if most is None else F.least(F.lit(float(most)), r)
     return r
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, total: float | None = None) -> list[dict[str, float]]:
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, total: float | None = None, most: float | None = None) -> list[dict[str, float]]:
     """The steps of the rounds of projected gradient. members: __n, __p_<domain>.
 
     The squared residuals of the domains' tokens are weighed by the inverse of the token-weighted second moments of the
     posteriors (and DAMPING of the domains' tokens), gathered once; so domains that the classifier confuses slow the
     descent little, and ones that it can't tell apart move no rates. total: tokens of the mixture; by default as many as
-    let the domain with the largest target keep its own. Targets that no rates meet are approached as far as the rounds
-    go. Sums are of whole numbers, so a repeated run has the same rates.
+    let the domain with the largest target keep its own. Targets that no rates meet are approached until the totals stand
+    still or the rounds are over. most: the highest rate. Sums are of whole numbers, so a repeated run has the same rates.
     """
     p = lambda d: F.col(f"__p_{d}")
     whole = lambda x: F.coalesce(F.sum(F.round(x).cast("decimal(38,0)")), F.lit(0))
@@ -186,23 +188,25 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: i
         if (np.abs(now - want) <= tolerance * np.maximum(want, 1.0)).all():
             break
         history.append(dict(zip(DOMAINS, (inverse @ (now - want)).tolist(), strict=True)))
-        now = sums(rate(history))
+        before, now = now, sums(rate(history, most))
+        if (np.abs(now - before) <= tolerance / 10 * np.maximum(want, 1.0)).all():
+            break
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, targets: dict[str, float] = TARGETS, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, targets: dict[str, float] = TARGETS, total: float | None = None, most: float | None = None) -> DataFrame:
     """carry (all columns by default), n_tokens (words), p_<domain>, rate and copies of every row of docs (doc_id, text).
 
     copies is the rate's whole part, and one more for the share of documents that the rest asks for, drawn by a hash of
-    doc_id; so the expected number of copies is the rate. Null and empty texts have no tokens and a posterior like any
-    other; repeated rows share rate and draw; no labels: equal posteriors; no rows: no rows. Columns of docs named as ours
-    give way. A null doc_id draws like an id of its own.
+    doc_id; so the expected number of copies is the rate. most: the highest rate; 1 repeats no document. Null and empty
+    texts have no tokens and a posterior like any other; repeated rows share rate and draw; no labels: equal posteriors;
+    no rows: no rows. Columns of docs named as ours give way. A null doc_id draws like an id of its own.
     """
     ours = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ours]
     classifier = learn(docs, labels)
-    history = fit_rates(stored(memberships(docs, classifier, []), "memberships"), targets, total=total)
-    found = memberships(docs.withColumn("__id", F.col("doc_id")), classifier, [*carry, "__id"]).withColumn("__rate", rate(history))
+    history = fit_rates(stored(memberships(docs, classifier, []), "memberships"), targets, total=total, most=most)
+    found = memberships(docs.withColumn("__id", F.col("doc_id")), classifier, [*carry, "__id"]).withColumn("__rate", rate(history, most))
     draw = F.pmod(F.xxhash64("__id", F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
     copies = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long")
     return found.select(*[f"`{c}`" for c in carry], F.col("__n").alias("n_tokens"), *[(F.col(f"__p_{d}") / float(UNIT)).alias(f"p_{d}") for d in DOMAINS], F.col("__rate").alias("rate"), copies.alias("copies"))

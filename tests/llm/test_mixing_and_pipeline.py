@@ -69,6 +69,8 @@ def test_projection_keeps_rates_nonnegative(spark):
         got = np.array([r[0] for r in members.select(mixing.rate(mixing.fit_rates(members, targets))).collect()])
         tokens = (p * (n * got)[:, None]).sum(axis=0)
         assert targets["poor"] < 0.1 or tokens / tokens.sum() == pytest.approx(list(targets.values()), rel=0.01)
+    got = np.array([r[0] for r in members.select(mixing.rate(mixing.fit_rates(members, targets, most=1), 1)).collect()])
+    assert 0 <= got.min() and got.max() <= 1
     one = members.filter("__p_good > 900000").withColumn("__p_poor", F.lit(0)).withColumn("__p_toxic", F.lit(0))
     assert len(mixing.fit_rates(one, rounds=4)) <= 4  # domains without tokens
 
@@ -93,7 +95,7 @@ def test_pipeline_against_plain_python(spark, tables, tik, tmp_path):  # noqa: F
     stats = [(d, brute_measures(d[1])) for d in docs]
     kept = [d for d, m in stats if not (m[0] < 10 or 100 * m[4] > 20 * m[0])]
     n_good = tables[1].filter("quality = 1").count()
-    assert quality.binomial_tail(0, n_good, 0.05 / len(quality.rules())) > 0.05 / len(quality.rules()) / len(quality.CUTOFFS)  # too few labels for cutoffs
+    assert quality.binomial_tail(0, n_good, 0.05 / len(quality.RULES)) > 0.05 / len(quality.RULES) / len(quality.CUTOFFS)  # too few labels for cutoffs
     first = brute_components([(d[0], brute_fingerprint(d[1])) for d in kept])
     kept = [d for d, c in zip(kept, first, strict=True) if d[0] == c]
     dedup = {i: (n, gone, digest) for i, n, gone, digest in brute_dedup([(d[0], d[1]) for d in kept])}
