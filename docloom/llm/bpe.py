@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, shared_dir, table, text_bytes
+from .common import rows, shared_dir, stored, table, text_bytes
 
 #: White space as the tokenizers' pattern sees it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -214,11 +214,11 @@ def count_tokens(docs: DataFrame, path: str, cache: str, carry: list[str]) -> Da
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(cache)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    stored = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+    known = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
     digest = F.unhex(F.sha2(text_bytes(), 256))
     texts = docs.select(digest.alias("digest"), text_bytes().alias("bytes"))
     if there:
-        texts = texts.join(stored.select("digest"), "digest", "left_anti")
+        texts = texts.join(known.select("digest"), "digest", "left_anti")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -245,7 +245,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, carry: list[str]) -> Da
 
     missing = texts.mapInArrow(once, texts.schema).repartition("digest").sortWithinPartitions("digest").mapInArrow(encode_missing, CACHE_SCHEMA)
     missing.write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # one row for each digest, whoever else appends; written, so that the join's plan is free to split a digest that many rows have
+    once_each = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(once_each, "token-counts")
     keyed = docs.select(*[F.col(f"`{c}`") for c in carry], digest.alias("__digest"), F.octet_length(text_bytes()).cast("long").alias("n_bytes"))
     found = keyed.join(counts.withColumnRenamed("digest", "__digest"), "__digest")
     return found.select(*[F.col(f"`{c}`") for c in carry], "n_bytes", "n_tokens")
