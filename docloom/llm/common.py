@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: texts can be long, and a worker holds a batch.
+BATCH_ROWS, _ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
