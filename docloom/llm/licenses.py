@@ -53,6 +53,33 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+# Short templates that differ from one another in a license's name only, and the words of each that make the name.
+_CC = {"BY-ND": "NoDerivatives", "BY-NC": "NonCommercial", "BY-NC-SA": "NonCommercial-ShareAlike", "BY-NC-ND": "NonCommercial-NoDerivatives"}
+TEMPLATES |= {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "Apache-2.0-short": "Released under the Apache License 2.0",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License",
+    "BSD-short": "Released under the BSD License",
+    "GPL": "This work is licensed under the GNU General Public License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "MPL-2.0-version": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
+    **{f"CC-{k}-4.0-short": f"Licensed under CC {k} 4.0" for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{k}-4.0-text": f"This work is licensed under a Creative Commons Attribution-{v} 4.0 International License" for k, v in _CC.items()},
+}
+NAMES = {
+    "AGPL-3.0": "GNU Affero General Public License, version 3", "Apache-2.0": "Apache License, Version 2.0", "Apache-2.0-short": "Apache License 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-short": "BSD License",
+    "CC-BY-4.0": "Attribution 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0",
+    "GPL": "GNU General Public License", "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3", "MIT": "MIT License", "MPL-2.0": "Mozilla Public License, v. 2.0", "MPL-2.0-version": "Mozilla Public License, version 2.0",
+    **{f"CC-{k}-4.0-short": f"CC {k} 4.0" for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{k}-4.0-text": f"Attribution-{v} 4.0" for k, v in _CC.items()},
+}
+#: Templates of fewer words must have their whole name in the text, word after word; without a name, all their words.
+SHORT = 20
+
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -113,6 +140,7 @@ class Scanner:
         self.coverage = coverage
         self.templates = [(name, words_of(text.encode())) for name, text in sorted(templates.items())]
         self.bags = [Counter(words) for _, words in self.templates]
+        self.names = [words_of(NAMES.get(name, "").encode()) if len(words) < SHORT and templates[name] == TEMPLATES.get(name) else [] for name, words in self.templates]
         self.known = frozenset(w for _, words in self.templates for w in words)
 
     def stretches(self, words: list[bytes], bag: Counter, m: int) -> Iterator[tuple[int, int]]:
@@ -127,23 +155,43 @@ class Scanner:
                     if sum(min(n, bag[w]) for w, n in held.items()) >= need:
                         yield start, min(len(words), s + 2 * m)
 
+    def named(self, words: list[bytes], template: list[bytes], name: list[bytes]) -> tuple[float, int, int]:
+        """Best coverage, first and last word of a notice that has the name unbroken; the words before and after it are
+        aligned with as many, doubled, of the text."""
+        n, m, best = len(name), len(template), (0.0, 0, 0)
+        k = next(x for x in range(m) if template[x : x + n] == name)
+        for at in [i for i, w in enumerate(words) if w == name[0] and words[i : i + n] == name]:
+            start = max(0, at - 2 * k)
+            head, tail = patience(words[start:at], template[:k]), patience(words[at + n : at + n + 2 * (m - n - k)], template[k + n :])
+            if (share := (len(head) + n + len(tail)) / m) > best[0]:
+                best = (share, start + head[0][0] if head else at, at + n + tail[-1][0] if tail else at + n - 1)
+        return best
+
     def scan(self, data: bytes) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word) of the best stretch of each template that is covered enough: the
-        first of those with the highest coverage."""
-        words, out = words_of(data), []
+        first of those with the highest coverage. A short template counts only with its name; one that lies within a
+        longer one's notice (GPL within GPL-3.0) gives way."""
+        words, out, short = words_of(data), [], []
         present = self.known.intersection(words)
-        for (name, template), bag in zip(self.templates, self.bags, strict=True):
+        for (name, template), bag, own in zip(self.templates, self.bags, self.names, strict=True):
             m = len(template)
-            if not m or sum(n for w, n in bag.items() if w in present) < self.coverage * m:
+            coverage = self.coverage if own or m >= SHORT else 1.0
+            if not m or sum(n for w, n in bag.items() if w in present) < coverage * m:
                 continue
             best = (0.0, 0, 0)
-            for start, stop in self.stretches(words, bag, m):
-                found = patience(words[start:stop], template)
-                if len(found) / m > best[0]:
-                    best = (len(found) / m, start + found[0][0], start + found[-1][0])
-            if best[0] >= self.coverage:
+            if own:
+                best = self.named(words, template, own)
+            else:
+                for start, stop in self.stretches(words, bag, m):
+                    found = patience(words[start:stop], template)
+                    if len(found) / m > best[0]:
+                        best = (len(found) / m, start + found[0][0], start + found[-1][0])
+            if best[0] >= coverage:
                 out.append((name, *best))
-        return out
+                if own:
+                    short.append((best[1], best[2], m))
+        length = {name: len(words) for name, words in self.templates}
+        return [x for x in out if not any(a <= x[2] and x[3] <= b and length[x[0]] < m < SHORT for a, b, m in short) or length[x[0]] >= SHORT]
 
 
 SCHEMA = T.StructType(
