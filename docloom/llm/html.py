@@ -166,11 +166,11 @@ def common_lines(a: list[str], b: list[str], most: int = 1 << 27) -> set[int]:
 
 def main_text(page: list[tuple[int, str]], nearest: list[tuple[int, str]] | None) -> str:
     """The page's lines less those that an alignment with the nearest page finds there too, and less menus and the like.
-    Where the page marks its article, an article's shared lines stay (the nearest page holds a copy of it) and lines
-    outside it go, shared or not."""
+    Where the page marks its article, an article's shared lines stay (the nearest page holds a copy of it), and the
+    unmarked lines outside it stay if the alignment finds them on this page alone; without a nearest page they go."""
     shared = common_lines([t for _, t in page], [t for _, t in nearest]) if nearest else set()
-    rest = ARTICLE if any(z == ARTICLE for z, _ in page) else OPEN
-    return "\n".join(t for i, (z, t) in enumerate(page) if z == ARTICLE or z == rest and i not in shared)
+    judged = nearest is not None or all(z != ARTICLE for z, _ in page)
+    return "\n".join(t for i, (z, t) in enumerate(page) if z == ARTICLE or z == OPEN and judged and i not in shared)
 
 
 def address(url: str | None) -> tuple[str, str]:
