@@ -1 +1 @@
-"""Relational, retrieval, synthesis, cost and evaluation operators: DataFrame to DataFrame."""
+"""Relational, retrieval, comparison, cost and evaluation operators: DataFrame to DataFrame."""

@@ -49,7 +49,7 @@ def cluster(vectors: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
 def clustered(results: DataFrame) -> DataFrame:
     """results (query_id, pos, embedding) with approach (from 0, empty clusters closed up) and centroid_similarity. A query
     has as many results as a search returns, so a group fits a worker. After an empty cluster the centroid looked up is
-    that of the closed-up number, as the reference behaviour has it; .7 if that is none."""
+    that of the closed-up number; .7 if that is none."""
     schema = f"query_id {dict(results.dtypes)['query_id']}, pos {dict(results.dtypes)['pos']}, approach int, centroid_similarity double"
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:

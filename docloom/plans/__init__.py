@@ -1 +1 @@
-"""Whole dataflows: search, ingest, synthesis, and the tools on top of them."""
+"""Whole dataflows: search, comparison, ingest, and the tools on top of them."""

@@ -21,7 +21,7 @@ class Config:
     code_provider: str = "voyage"
     writing_provider: str = "openai"
     docs_provider: str = "ollama"
-    synthesis: bool = False
+    comparison: bool = False
     contradictions: bool = False
     budget: float | None = 10.0
     cost_alerts: bool = True
@@ -37,6 +37,6 @@ class Config:
             search_mode=e.get("SEARCH_MODE", "vector").strip().lower(), vector_weight=number("HYBRID_VECTOR_WEIGHT"), lexical_weight=number("HYBRID_BM25_WEIGHT"),
             trust_scoring=e.get("ENABLE_TRUST_SCORING") == "true", reranker=e.get("RERANKER_PROVIDER", "none"), reranker_override=e.get("RERANKER_PROVIDER_OVERRIDE"),
             max_candidates=int(number("RERANK_MAX_CANDIDATES") or 50), code_provider=e.get("CODE_EMBEDDING_PROVIDER", "voyage"), writing_provider=e.get("WRITING_EMBEDDING_PROVIDER", "openai"),
-            docs_provider=e.get("DOC_EMBEDDING_PROVIDER", "ollama"), synthesis=e.get("ENABLE_SYNTHESIS") == "true", contradictions=e.get("ENABLE_CONTRADICTION_DETECTION") == "true",
+            docs_provider=e.get("DOC_EMBEDDING_PROVIDER", "ollama"), comparison=e.get("ENABLE_COMPARISON") == "true", contradictions=e.get("ENABLE_CONTRADICTION_DETECTION") == "true",
             budget=valid_budget(e.get("MONTHLY_BUDGET_USD")), cost_alerts=e.get("ENABLE_COST_ALERTS", "true") == "true",
         )

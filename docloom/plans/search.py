@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import embed, rerank, search, synthesis
+from ..operators import approaches as groups
+from ..operators import embed, rerank, search
 from .config import Config
 
 MODES = ("vector", "hybrid")
@@ -73,7 +74,7 @@ def search_rag(
 def snippet_vectors(results: DataFrame, provider: str = "ollama") -> DataFrame:
     """results (text) with embedding, of the first 600 characters of each text. Where neither the provider nor the local one
     answers, all get vectors of their characters, so that they can still be told apart."""
-    given = results.drop("embedding").withColumns({"__snippet": F.substring("text", 1, synthesis.EMBEDDED), "__provider": F.lit(provider)})
+    given = results.drop("embedding").withColumns({"__snippet": F.substring("text", 1, groups.EMBEDDED), "__provider": F.lit(provider)})
     carry = [c for c in given.columns if c != "__provider"]
     try:
         made = embed.embed(given, carry, "__snippet", "__provider")
@@ -86,11 +87,11 @@ def snippet_vectors(results: DataFrame, provider: str = "ollama") -> DataFrame:
 def compare(results: DataFrame, query: str, as_of: datetime, config: Config, make_judge: Callable | None = None, most: int = 15) -> dict[str, DataFrame]:
     """approaches, conflicts and recommended of a query's results (query_id, pos, text, title, url, quality, verified,
     published, topic, method, embedding)."""
-    if not config.synthesis:
-        raise PermissionError("synthesis is switched off")
+    if not config.comparison:
+        raise PermissionError("comparison is switched off")
     used = results.filter(F.col("pos") <= most).withColumn("query", F.lit(query))
-    found = synthesis.approaches(synthesis.clustered(used), F.lit(as_of).cast("timestamp")).cache()
+    found = groups.approaches(groups.clustered(used), F.lit(as_of).cast("timestamp")).cache()
     none = results.sparkSession.createDataFrame([], "query_id long, pair_rank int, topic string, a_title string, a_url string, b_title string, b_url string, severity string, difference string, recommendation string, confidence double")
-    conflicts = synthesis.judge(synthesis.conflict_pairs(found), found, make_judge) if config.contradictions and make_judge is not None else none
+    conflicts = groups.judge(groups.conflict_pairs(found), found, make_judge) if config.contradictions and make_judge is not None else none
     conflicts = conflicts.cache()
-    return {"approaches": found, "conflicts": conflicts, "recommended": synthesis.recommended(found, conflicts)}
+    return {"approaches": found, "conflicts": conflicts, "recommended": groups.recommended(found, conflicts)}

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import present, rules, text, urls, vectors
-from .operators import catalog, chunk, cost, embed, evaluate, rerank, search, synthesis
+from .operators import approaches as groups
+from .operators import catalog, chunk, cost, embed, evaluate, rerank, search
 from .plans.ingest import ingest
 from .session import load
 from .sources import files, web
@@ -451,7 +452,7 @@ def crawl(spark, sf):
     return spark.createDataFrame(web.crawl(p, ring, start, most=5), "url string, depth int")
 
 
-# --- synthesis ---
+# --- approaches ---
 
 _ROLES = "(SELECT conv_id AS query_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS approach, substr(string_agg(text, ' ' ORDER BY turn), 1, 360) AS summary FROM conversations GROUP BY ALL)"
 _SET = "list_distinct(list_filter(string_split_regex(lower(summary), '[^a-z0-9]+'), lambda w: w <> ''))"
@@ -468,13 +469,13 @@ def role_approaches(spark: SparkSession, sf: str) -> DataFrame:
     " FROM a x JOIN a y ON x.query_id = y.query_id AND x.approach < y.approach WHERE len(x.t) > 0 AND len(y.t) > 0) SELECT query_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(o, 9) AS overlap, round(o + d, 9) AS weight FROM p WHERE o BETWEEN 0.1 AND 0.9"
 )
 def jaccard_pairs(spark, sf):
-    return synthesis.conflict_pairs(role_approaches(spark, sf), 0.1, 0.9).select("query_id", "a", "b", F.round("overlap", 9).alias("overlap"), F.round("weight", 9).alias("weight"))
+    return groups.conflict_pairs(role_approaches(spark, sf), 0.1, 0.9).select("query_id", "a", "b", F.round("overlap", 9).alias("overlap"), F.round("weight", 9).alias("weight"))
 
 
 @query(f"SELECT source, n, round(CASE WHEN n = 1 THEN 1.0 ELSE least(1.0, greatest(0.0, 0.4 * q + 0.4 * s + 0.2 * f)) END, 9) AS consensus_score FROM (SELECT source, count(*) AS n, avg({_TRUST}) AS q, avg((n_chars % 100) / 100.0) AS s, avg({_FRESH}) AS f FROM (SELECT *, (2024 - year(day)) * 12 + 1 - month(day) AS m FROM {_RATED}) GROUP BY source)")
 def consensus_score(spark, sf):
-    r = rated_documents(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.avg(synthesis.lower_quality(F.col("q"))).alias("q"), F.avg((F.col("n_chars") % 100) / 100).alias("s"), F.avg(rules.freshness(F.col("day"), F.lit(AS_OF.date()))).alias("f"))
-    return r.select("source", "n", F.round(synthesis.consensus(F.col("n"), F.col("q"), F.col("s"), F.col("f")), 9).alias("consensus_score"))
+    r = rated_documents(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.avg(groups.lower_quality(F.col("q"))).alias("q"), F.avg((F.col("n_chars") % 100) / 100).alias("s"), F.avg(rules.freshness(F.col("day"), F.lit(AS_OF.date()))).alias("f"))
+    return r.select("source", "n", F.round(groups.consensus(F.col("n"), F.col("q"), F.col("s"), F.col("f")), 9).alias("consensus_score"))
 
 
 @query()
@@ -484,7 +485,7 @@ def approaches(spark, sf):
     found = batch(spark, sf, 15).join(e.select("chunk_id", "embedding"), "chunk_id").join(load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"), "chunk_id").withColumnRenamed("rank", "pos")
     none = F.lit(None).cast("string")
     full = found.withColumns({"title": F.col("source"), "url": none, "quality": F.lit("verified"), "verified": F.lit(AS_OF.date()), "published": F.lit(None).cast("date"), "topic": none, "method": none, "query": F.lit("q")})
-    return synthesis.approaches(synthesis.clustered(full), F.lit(AS_OF).cast("timestamp")).select("query_id", "approach", "topic", "summary", F.round("consensus_score", 6).alias("consensus_score"), F.size("sources").alias("n_sources"))
+    return groups.approaches(groups.clustered(full), F.lit(AS_OF).cast("timestamp")).select("query_id", "approach", "topic", "summary", F.round("consensus_score", 6).alias("consensus_score"), F.size("sources").alias("n_sources"))
 
 
 # --- evaluation ---

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import rules, text, urls, vectors
-from docloom.operators import catalog, chunk, cost, embed, evaluate, rerank, search, synthesis
+from docloom.operators import catalog, chunk, cost, embed, evaluate, rerank, search
+from docloom.operators import approaches as groups
 from docloom.plans.config import Config
 from docloom.plans.ingest import context_of, document_metadata, ingest, status_log
 from docloom.plans.search import compare, resolve_mode, snippet_vectors
@@ -209,13 +210,13 @@ def test_catalogue_writes(spark):
         catalog.set_status(docs, is_a, "nowhere", F.lit(NOW))
 
 
-# --- synthesis ---
+# --- approaches ---
 
 
 def test_clusters():
     a, b = np.array([1.0, 0, 0.1]), np.array([0, 1.0, 0.1])
-    own, _ = synthesis.cluster([a, b, a + 0.01, b + 0.01, a, b])
-    assert own == [0, 1, 0, 1, 0, 1] and synthesis.cluster([a])[0] == [0]
+    own, _ = groups.cluster([a, b, a + 0.01, b + 0.01, a, b])
+    assert own == [0, 1, 0, 1, 0, 1] and groups.cluster([a])[0] == [0]
 
 
 def results(spark):
@@ -226,12 +227,12 @@ def results(spark):
 
 def test_compare(spark):
     judge = lambda: lambda a, b: 'so: {"contradiction": true, "severity": "high", "difference": "d", "confidence": 7}'
-    out = compare(results(spark), "auth", NOW, Config(synthesis=True, contradictions=True), judge)
+    out = compare(results(spark), "auth", NOW, Config(comparison=True, contradictions=True), judge)
     assert [(r.approach, r.method, r.topic, len(r.sources)) for r in out["approaches"].orderBy("approach").collect()] == [(0, "Firebase Auth Guide", "Firebase Auth Guide", 3), (1, "Supabase Auth Guide", "Supabase Auth Guide", 3)]
     (c,) = out["conflicts"].collect()
     assert (c.severity, c.confidence, c.a_title) == ("high", 1.0, "Firebase Auth Guide")
     assert out["recommended"].first().method == "Firebase Auth Guide"
-    assert compare(results(spark).limit(0), "x", NOW, Config(synthesis=True))["recommended"].count() == 0
+    assert compare(results(spark).limit(0), "x", NOW, Config(comparison=True))["recommended"].count() == 0
     with pytest.raises(PermissionError):
         compare(results(spark), "x", NOW, Config())
 
@@ -239,12 +240,12 @@ def test_compare(spark):
 def test_penalty_moves_the_recommendation(spark):
     found = spark.createDataFrame([(0, 0, 0.9, [("F", None)]), (0, 1, 0.8, [("S", None)])], "query_id int, approach int, consensus_score double, sources array<struct<title string, url string>>")
     conflicts = spark.createDataFrame([(0, 1, "high", "F", None, "X", None)], "query_id int, pair_rank int, severity string, a_title string, a_url string, b_title string, b_url string")
-    assert synthesis.recommended(found, conflicts).first().approach == 1 and synthesis.recommended(found, conflicts.limit(0)).first().approach == 0
+    assert groups.recommended(found, conflicts).first().approach == 1 and groups.recommended(found, conflicts.limit(0)).first().approach == 0
 
 
 def test_verdicts():
-    assert synthesis.parse_verdict('{"contradiction": true}') == {"severity": "medium", "difference": "", "recommendation": "", "confidence": 0.6}
-    assert [synthesis.parse_verdict(x) for x in (None, "no", "{bad}", '{"contradiction": "true"}', "[1]")] == [None] * 5
+    assert groups.parse_verdict('{"contradiction": true}') == {"severity": "medium", "difference": "", "recommendation": "", "confidence": 0.6}
+    assert [groups.parse_verdict(x) for x in (None, "no", "{bad}", '{"contradiction": "true"}', "[1]")] == [None] * 5
 
 
 # --- cost ---
@@ -398,7 +399,7 @@ def test_tools(spark, tmp_path):
     with pytest.raises(ValueError):
         lib.delete_collection(c)  # usage rows refer to it
     assert resolve_mode(None, Config(search_mode="hybrid"), False) == "hybrid" and resolve_mode("vector", Config(), True) == "hybrid"
-    assert Config.from_env({"ENABLE_SYNTHESIS": "true", "HYBRID_VECTOR_WEIGHT": "0.5", "MONTHLY_BUDGET_USD": "x"}) == Config(synthesis=True, vector_weight=0.5, budget=None)
+    assert Config.from_env({"ENABLE_COMPARISON": "true", "HYBRID_VECTOR_WEIGHT": "0.5", "MONTHLY_BUDGET_USD": "x"}) == Config(comparison=True, vector_weight=0.5, budget=None)
 
 
 # --- streams ---
