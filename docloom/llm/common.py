@@ -2,44 +2,64 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-#: Rows of an Arrow batch where the session has Spark's default of 10,000: texts can be long, and a worker holds a batch.
-BATCH_ROWS, _ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches of a session that says nothing else: texts can be long, and a task and its worker hold a batch each.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(_ROWS_KEY) == "10000":
-        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither
+    is set a session in one process (tests) gets a folder of its own; a cluster must name one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not have.isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
             have = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = have.get()
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written once as Parquet to the shared folder and read again, and where: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    return kept(df, label)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Where the session leaves the size of Arrow batches to Spark it gets BATCH; a set value stays."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, "1") != spark.conf.get(key, "2"):  # answered by the defaults given here
+            spark.conf.set(key, value)
 
 
 def text_bytes(column: str = "text"):
@@ -52,6 +72,32 @@ def text_size(docs: DataFrame, column: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
+def carried(names: list[str], own: Iterable[str]) -> list[str]:
+    """names without those that own has, whatever their case."""
+    ours = {n.lower() for n in own}
+    return [n for n in names if n.lower() not in ours]
+
+
+def with_text(docs: DataFrame, carry: list[str], *more: Column) -> DataFrame:
+    """What a task sends to its worker: carry, more and the text as __text. The text goes once, also where it is carried."""
+    bounded(docs.sparkSession)
+    return docs.select(*[F.col(f"`{c}`") for c in carry if c != "text"], *more, F.col("text").cast("string").alias("__text"))
+
+
+def carried_fields(docs: DataFrame, carry: list[str]) -> list[T.StructField]:
+    return [T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in carry]
+
+
+def carried_columns(batch: pa.RecordBatch, carry: list[str]) -> list[pa.Array]:
+    """The columns of carry of a batch of with_text()."""
+    return [batch.column("__text" if c == "text" else c) for c in carry]
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "__text") -> list[bytes]:
+    """A batch's texts as bytes, null as empty."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
 def rows(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most so many rows: bounds what a Python worker holds beside a batch."""
     for batch in batches:

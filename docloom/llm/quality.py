@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose measure exceeds a cutoff. Cutoffs are chosen for each stratum (language) on
-labelled documents: one is valid only if an exact binomial test refutes, at level delta divided by the number of
-tests made (Bonferroni over strata, rules and cutoffs), that it rejects alpha / number of rules or more of the good
-documents. So with probability 1 - delta no stratum loses more than alpha of its good documents to the rules. Among
-the valid cutoffs of a rule the loosest is taken that rejects nearly as much (`NEAR`) of the bad labelled documents
-as the strictest valid one. A cutoff that rejects no more bad than good labelled documents is never taken; a rule without
-a cutoff is off in that stratum.
+Each rule rejects a document whose measure exceeds a cutoff. Cutoffs are chosen for each stratum (language) on labelled
+holdout documents by fixed-sequence testing: PATH names, before any label is seen, the cutoffs to be tried, one rule after
+the other from loose to strict, each step beside all steps before it. A step is certified if an exact binomial test
+refutes, at level delta divided by the number of strata (Bonferroni), that the rules so far together reject alpha or more
+of the stratum's good documents; the first step that is not certified ends the stratum's walk. So with probability
+1 - delta no stratum loses more than alpha of its good documents to the rules. With no false rejection, four strata and
+alpha = delta = 0.05, 86 good documents certify a step.
+
+Among the certified cutoffs of a rule the loosest is taken that rejects nearly as much (`NEAR`) of the bad labelled
+documents as the strictest; a rule that rejects no more bad than good labelled documents is off. Both choices only reject
+less than what was certified. Trials are distinct texts: copies of a labelled document count once.
 """
 
 from __future__ import annotations
@@ -21,22 +25,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered, rows, stored, table, text_bytes, window_hashes, word_hashes
+from .common import carried, carried_columns, carried_fields, covered, rows, stored, table, text_bytes, texts_of, window_hashes, with_text, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 5
 NEAR = 0.99
-#: Cutoffs tried for each rule, fixed before any label is seen.
-CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8)
-
-
 #: Measures between 0 and 1 (more is worse): the share of one count in another.
 RULES = {
     "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars"), "shouts": ("n_shouts", "n_words"),
 }
 
 
+#: Steps (rule, cutoff), fixed before any label is seen: marks that prose hardly has first, capitals last.
+PATH = tuple(
+    (rule, cut) for rule, cuts in {
+        "symbols": (0.5, 0.3, 0.2, 0.12, 0.08, 0.05, 0.03), "shouts": (0.5, 0.2, 0.1, 0.05, 0.03), "dup_lines": (0.8, 0.5, 0.3, 0.2), "repeats": (0.19, 0.16, 0.13, 0.1), "upper": (0.8, 0.5, 0.3, 0.2),
+    }.items() for cut in cuts
+)
+
+
 def rules() -> dict[str, Column]:
     """RULES of a row that has MEASURES."""
     return {r: F.col(a) / F.greatest(F.col(b), F.lit(1)) for r, (a, b) in RULES.items()}
@@ -73,17 +81,18 @@ def text_measures(data: bytes) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns of carry and MEASURES of every row. Null text: no words."""
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], text_bytes().alias("__bytes"))
+def measured(docs: DataFrame, carry: list[str], *more: Column) -> DataFrame:
+    """carry, the columns of more and MEASURES (as __<measure>) of every row. Null text: no words."""
+    given = with_text(docs, carry, *more)
+    extra = [f.name for f in given.schema.fields[sum(c != "text" for c in carry) : -1]]
     names = [f"__{m}" for m in MEASURES]
-    schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([*carried_fields(docs, carry), *(given.schema[n] for n in extra), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            got = [text_measures(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)] or [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
+            got = [text_measures(x) for x in texts_of(b)]
+            cols = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)]
+            yield pa.RecordBatch.from_arrays([*carried_columns(b, carry), *carried_columns(b, extra), *cols], schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -106,30 +115,40 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoffs(counts: list[dict], alpha: float = 0.05, delta: float = 0.05) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff. counts has for each stratum n_good and, for each rule and cutoff number i,
-    good_<rule>_<i> and bad_<rule>_<i>: labelled documents whose measure exceeds the cutoff."""
-    names = list(RULES)
-    level, share, out = delta / max(1, len(counts) * len(names) * len(CUTOFFS)), alpha / len(names), {}
+    """(stratum, rule) -> cutoff. counts has for each stratum n_good and, for each step i of PATH, union_<i> (good texts
+    that the rules up to the step reject together), good_<i> and bad_<i> (texts that the step's own cutoff rejects)."""
+    level, out = delta / max(1, len(counts)), {}
     for c in counts:
-        for r in names:
-            valid = [i for i in range(len(CUTOFFS)) if c[f"bad_{r}_{i}"] > c[f"good_{r}_{i}"] and binomial_tail(c[f"good_{r}_{i}"], c["n_good"], share) <= level]
-            most = max((c[f"bad_{r}_{i}"] for i in valid), default=0)
-            if most:
-                out[c["stratum"], r] = CUTOFFS[max(i for i in valid if c[f"bad_{r}_{i}"] >= NEAR * most)]
+        walked = 0
+        while walked < len(PATH) and binomial_tail(c[f"union_{walked}"], c["n_good"], alpha) <= level:
+            walked += 1
+        for rule in RULES:
+            mine = [i for i in range(walked) if PATH[i][0] == rule and c[f"bad_{i}"] > c[f"good_{i}"]]
+            if mine:
+                most = max(c[f"bad_{i}"] for i in mine)
+                out[c["stratum"], rule] = PATH[min(i for i in mine if c[f"bad_{i}"] >= NEAR * most)][1]
     return out
 
 
 def label_counts(measures: DataFrame, labels: DataFrame) -> list[dict]:
-    """Counts for choose_cutoffs() over every labelled row that passes the base rules: a row for each stratum.
-    measures: doc_id, stratum and MEASURES. Labels without doc_id or quality don't count; of several for a document
-    the lowest does."""
+    """Counts for choose_cutoffs() over every labelled text that passes the base rules: a row for each stratum. measures:
+    doc_id, stratum, digest (of the text) and MEASURES. Labels without doc_id or quality don't count; of several for a
+    document or a text the lowest does."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good"))
-    good, aggs = F.col("__good") > 0, []
-    for r, value in rules().items():
-        for i, cut in enumerate(CUTOFFS):
-            aggs += [F.count_if(good & (value > cut)).alias(f"good_{r}_{i}"), F.count_if(~good & (value > cut)).alias(f"bad_{r}_{i}")]
-    rated = measures.filter(~base_failed()).join(known, "doc_id")
-    return [x.asDict() for x in rated.groupBy("stratum").agg(F.count_if(good).alias("n_good"), *aggs).collect()]
+    values = {r: v.alias(f"__{r}") for r, v in rules().items()}
+    rated = measures.filter(~base_failed()).join(known, "doc_id").select("stratum", "digest", "__good", *values.values())
+    once = rated.groupBy("stratum", "digest").agg(F.min("__good").alias("__good"), *[F.max(f"__{r}").alias(f"__{r}") for r in values])  # equal texts have equal measures
+    own = F.array(*[F.col(f"__{rule}") > cut for rule, cut in PATH])
+    steps = once.select("stratum", (F.col("__good") > 0).alias("good"), own.alias("own")).withColumn("first", F.array_position("own", F.lit(True)))
+    flat = steps.select("stratum", "good", "first", F.posexplode("own").alias("step", "own"))
+    union = (F.col("first") > 0) & (F.col("first") <= F.col("step") + 1)
+    sums = flat.groupBy("stratum", "step").agg(
+        F.count_if("good").alias("n_good"), F.count_if(F.col("good") & union).alias("union"), F.count_if(F.col("good") & F.col("own")).alias("good"), F.count_if(~F.col("good") & F.col("own")).alias("bad")
+    )
+    out: dict[str, dict] = {}
+    for x in sums.collect():
+        out.setdefault(x["stratum"], {"stratum": x["stratum"]}).update({"n_good": x["n_good"], **{f"{k}_{x['step']}": x[k] for k in ("union", "good", "bad")}})
+    return list(out.values())
 
 
 def verdict(cutoffs: dict[tuple[str, str], float], stratum: Column) -> Column:
@@ -148,20 +167,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, by: str = "lang", alpha: f
     """carry (all columns by default) of every row of docs, with MEASURES, base_failed and kept.
 
     docs: doc_id, text and the stratum column `by`, a column of few values. Null or empty text has no words and so fails
-    the base rules; a null stratum is one of its own; repeated rows are judged each; no labels: only the base rules
-    reject; further columns, also ones named as our own, don't matter (own results win).
+    the base rules; a null stratum is one of its own; repeated rows are judged each, as trials they count once; no labels:
+    only the base rules reject; no rows: no rows. Very long texts are measured whole. Further columns, also ones named as
+    our own, don't matter (own results win). Texts are measured once, into a table in the shared folder.
     """
-    own = {*MEASURES, "base_failed", "kept"}
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in own]
-    narrow = stored(plain(measured(docs.select("doc_id", "text", strata(docs, by).alias("stratum")), ["doc_id", "stratum"])), "measures")
-    cutoffs = choose_cutoffs(label_counts(narrow, labels), alpha, delta)
-    if set(keep) <= {"doc_id"}:
-        out = narrow
-    else:
-        clean = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], strata(docs, by).alias("__stratum"))
-        out = plain(measured(clean, [*keep, "__stratum"])).withColumnRenamed("__stratum", "stratum")
-    kept = ~F.col("base_failed") & verdict(cutoffs, F.col("stratum"))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", kept).select(*[f"`{c}`" for c in keep], *MEASURES, "base_failed", "kept")
+    keep = carried(docs.columns if carry is None else carry, [*MEASURES, "base_failed", "kept"])
+    extra = [F.col("doc_id").alias("__id"), strata(docs, by).alias("__stratum"), F.xxhash64(text_bytes()).alias("__digest")]
+    full = plain(stored(measured(docs, keep, *extra), "measures"))
+    narrow = full.select(F.col("__id").alias("doc_id"), F.col("__stratum").alias("stratum"), F.col("__digest").alias("digest"), *MEASURES)
+    kept_by = verdict(choose_cutoffs(label_counts(narrow, labels), alpha, delta), F.col("__stratum"))
+    out = full.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & kept_by)
+    return out.select(*[f"`{c}`" for c in keep], *MEASURES, "base_failed", "kept")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

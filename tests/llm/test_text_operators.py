@@ -200,13 +200,3 @@ def test_binomial_tail():
 
     for k, n, p in ((0, 10, 0.1), (3, 20, 0.2), (7, 7, 0.5), (0, 1, 0.01)):
         assert quality.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-
-
-def test_cutoffs_are_valid_and_loose():
-    n, cuts = 5000, range(len(quality.CUTOFFS))
-    zero = {f"{kind}_{r}_{i}": 0 for kind in ("good", "bad") for r in quality.RULES for i in cuts}
-    few = zero | {"stratum": "few", "n_good": 20} | {f"bad_symbols_{i}": 9 for i in cuts}
-    much = zero | {"stratum": "much", "n_good": n}
-    for i in cuts:  # the first two reject too many good ones; the bad ones caught fall off after the sixth
-        much |= {f"good_symbols_{i}": 400 if i < 2 else 5, f"bad_symbols_{i}": 300 if i < 6 else 100}
-    assert quality.choose_cutoffs([few, much]) == {("much", "symbols"): quality.CUTOFFS[5]}
