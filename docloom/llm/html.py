@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
-from itertools import accumulate
+from itertools import accumulate, groupby
+from os.path import commonprefix
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, rows, table
 
 # HTML's element names by their part in a page, and usual names of page parts that are no content.
 RAW = "script|style|noscript|template|textarea|title|svg|math|select|iframe|object|canvas|audio|video"
@@ -164,13 +166,22 @@ def common_lines(a: list[str], b: list[str], most: int = 1 << 27) -> set[int]:
     return shared
 
 
-def main_text(page: list[tuple[int, str]], nearest: list[tuple[int, str]] | None) -> str:
-    """The page's lines less those that an alignment with the nearest page finds there too, and less menus and the like.
-    Where the page marks its article, an article's shared lines stay (the nearest page holds a copy of it), and the
-    unmarked lines outside it stay if the alignment finds them on this page alone; without a nearest page they go."""
-    shared = common_lines([t for _, t in page], [t for _, t in nearest]) if nearest else set()
-    judged = nearest is not None or all(z != ARTICLE for z, _ in page)
-    return "\n".join(t for i, (z, t) in enumerate(page) if z == ARTICLE or z == OPEN and judged and i not in shared)
+def verdicts(page: list[tuple[int, str]], nearest: list[str] | None) -> list[str]:
+    """For each line of a page what becomes of it: "shared" (an alignment with the nearest page's lines finds it there too:
+    deleted), "marked" (the page marks it as a menu or the like: deleted), "beside" (unmarked, beside a marked article, and no
+    nearest page to tell: deleted) or "kept". Two exceptions keep shared lines: those of an article that the page marks (a
+    neighbour may hold a copy of it), and the unmarked lines of a page that differencing would leave empty (the neighbour
+    is a copy of it)."""
+    shared = common_lines([t for _, t in page], nearest) if nearest else set()
+    has_article = any(z == ARTICLE for z, _ in page)
+    out = ["kept" if z == ARTICLE else "shared" if i in shared else "marked" if z == CHROMED else "beside" if has_article and nearest is None else "kept" for i, (z, _) in enumerate(page)]
+    if not has_article and "kept" not in out:
+        out = ["kept" if z == OPEN else x for (z, _), x in zip(page, out, strict=True)]
+    return out
+
+
+def main_text(page: list[tuple[int, str]], nearest: list[str] | None) -> str:
+    return "\n".join(t for (_, t), x in zip(page, verdicts(page, nearest), strict=True) if x == "kept")
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -184,53 +195,119 @@ def address(url: str | None) -> tuple[str, str]:
 
 def kinship(a: str, b: str) -> int:
     """Length of the common start of two paths."""
-    n = 0
-    for x, y in zip(a, b):  # noqa: B905
-        if x != y:
-            break
-        n += 1
-    return n
+    return len(commonprefix((a, b)))
+
+
+Place = tuple[str, str]  # host and path
+
+
+def nearest_lines(place: Place, before: tuple[Place, list[str]] | None, after: tuple[Place, list[str]] | None) -> list[str] | None:
+    """Of the pages at the paths before and after, if of the same host, the lines of the one with the longer common start
+    of the path (ties: the one before)."""
+    kin = [x for x in (before, after) if x is not None and x[0][0] == place[0] != ""]
+    return max(kin, key=lambda x: kinship(x[0][1], place[1]))[1] if kin else None
+
+
+def order_of(page_id: int | None, url: str | None, digest: int) -> tuple:
+    """Sorts pages by host, path, number (null first), URL and text."""
+    return (*address(url), page_id is not None, page_id or 0, url or "", digest)
+
+
+#: Bytes of html that make one part of the sorted pages; keys for each part that a sample brings to the driver.
+PART_BYTES, KEYS = 4 << 20, 32
+
+def bounds_of(pages: DataFrame, part_bytes: int) -> list[tuple]:
+    """Where parts of the sorted pages begin, from a sample that hashes choose."""
+    n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    parts = -(-(size or 0) // part_bytes)
+    if parts < 2:
+        return []
+    drawn = pages.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, n // (KEYS * parts)))) == 0)
+    keys = sorted(order_of(*r) for r in drawn.select("page_id", "url", F.xxhash64("html")).collect())
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+
+
+def by_path(part: pa.Table) -> list[tuple[Place, list[int]]]:
+    """The places of a part's pages in order, each with its rows."""
+    keys = [order_of(*r.values()) for r in part.select(["page_id", "url", "digest"]).to_pylist()]
+    return [(place, list(own)) for place, own in groupby(sorted(range(len(keys)), key=keys.__getitem__), key=lambda i: keys[i][:2])]
+
+
+def ends_of_part(part: pa.Table) -> list[tuple]:
+    """p, k, host, path and lines of the first page of a part's first two and last two paths."""
+    found, p = by_path(part), part["p"][0].as_py()
+    return [(p, k, *found[k][0], part["lines"][found[k][1][0]].as_py()) for k in sorted({0, min(1, len(found) - 1), max(0, len(found) - 2), len(found) - 1})]
+
+
+def neighbours(ends: list[tuple]) -> list[tuple]:
+    """(p, role, p and k of an end) for each part: whose page stands for the path before its first one, for its first one
+    itself (an earlier part may begin it, and a path can fill several parts) and for the path after its last one. ends: p,
+    k, host, path."""
+    runs, first, last = [], {}, {}
+    for p, k, *place in sorted(ends):
+        if not runs or runs[-1][0] != place:
+            runs.append((place, p, k))
+        first.setdefault(p, len(runs) - 1)
+        last[p] = len(runs) - 1
+    asked = [(p, role, i) for p in first for role, i in (("before", first[p] - 1), ("own", first[p]), ("after", last[p] + 1))]
+    return [(p, role, *runs[i][1:]) for p, role, i in asked if 0 <= i < len(runs)]
+
+
+def texts_of_part(part: pa.Table, sides: dict[str, tuple[Place, list[str]]]) -> Iterator[tuple[int | None, str | None, str]]:
+    """page_id, url and text of every page of a part. A path is stood for by its first page; pages of one path, the same page asked
+    for in other ways, are not held against each other."""
+    found, zones, lines = by_path(part), part["zones"].to_pylist(), part["lines"].to_pylist()
+    ids, urls = part["page_id"].to_pylist(), part["url"].to_pylist()
+    stands = [sides.get("before"), *((place, lines[own[0]]) for place, own in found), sides.get("after")]
+    stands[1] = sides.get("own", stands[1])
+    for i, (place, own) in enumerate(found):
+        nearest = nearest_lines(place, stands[i], stands[i + 2])
+        for r in own:
+            yield ids[r], urls[r], main_text(list(zip(zones[r], lines[r], strict=True)), nearest)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    Pages are dealt out by ranges of host and path and sorted, so a host of any size is spread over tasks; a page's
-    nearest is, of the pages beside it in its task and of its host, the one with the longer common start of the path
-    (ties: the one before). A page alone of its host in its task has none; no line is deleted there. Null html: empty
-    text. Null url: no host, no nearest page. Repeated rows come out repeated; further columns are ignored.
+    Pages are sorted by host and path and cut into parts of about part_bytes, wherever that falls, so a host or a path of
+    any size is spread over tasks; parts tell each other the lines at their ends, so the cut changes no text. A page's
+    nearest is, of the paths beside its own and of its host, the one with the longer common start (ties: the one before);
+    a path's first page stands for it. A page alone of its host has none. Null html: empty text. Null url: no host, no
+    nearest page. Repeated rows come out repeated, like every page of one path; very long pages are aligned whole; no rows:
+    no rows; further columns are ignored. What one task gets of all parts is a host and path for each end.
     """
-    path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    given = pages.select("page_id", "url", "html", host.alias("__host"), path.alias("__path"))
-    dealt = given.repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id").select("page_id", "url", "html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def near(page, others):
-            kin = [o for o in others if o is not None and o[2][0] == page[2][0] != ""]
-            return max(kin, key=lambda o: kinship(o[2][1], page[2][1]))[3] if kin else None
-
-        def out(done):
-            texts = [x[1] for x in done]
-            return pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in done], pa.int64()), pa.array([x[0][1] for x in done], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        before = page = None
-        done: list[tuple] = []
-        for b in batches:
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                after = (page_id, url, address(url), blocks_of(html or ""))
-                if page is not None:
-                    done.append((page, main_text(page[3], near(page, (before, after)))))
-                before, page = page, after
-                if len(done) >= 256:
-                    yield out(done)
-                    done = []
-        if page is not None:
-            done.append((page, main_text(page[3], near(page, (before,)))))
-        if done:
-            yield out(done)
-
-    return dealt.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    bounded(pages.sparkSession)
+    bounds = bounds_of(pages, part_bytes)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches, 256):
+            out = []
+            for page_id, url, html, digest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = blocks_of(html or "")
+                out.append((bisect_right(bounds, order_of(page_id, url, digest)), page_id, url, *address(url), digest, [z for z, _ in found], [t for _, t in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), parsed, strict=True)], schema=parsed)
+
+    parsed = pa.schema([("p", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.int64()), ("zones", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))])
+    given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.xxhash64("html").alias("digest"))
+    dealt = given.mapInArrow(parse, "p int, page_id long, url string, host string, path string, digest long, zones array<int>, lines array<string>")
+    kinds = {"p": pa.int32(), "k": pa.int32(), "host": pa.string(), "path": pa.string(), "lines": pa.list_(pa.string())}
+
+    def tell(part: pa.Table) -> pa.Table:
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), zip(*ends_of_part(part), strict=True), strict=True)})
+
+    def pair(light: pa.Table) -> pa.Table:
+        found = neighbours([tuple(r.values()) for r in light.select(["p", "k", "host", "path"]).to_pylist()])
+        return pa.table({n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate((("p", pa.int32()), ("role", pa.string()), ("source", pa.int32()), ("k", pa.int32())))})
+
+    def run(part: pa.Table, sides: pa.Table) -> pa.Table:
+        known = {r["role"]: ((r["host"], r["path"]), r["lines"]) for r in sides.to_pylist()}
+        done = [(*r, len(r[2])) for r in texts_of_part(part, known)] if part.num_rows else []
+        return pa.table({n: pa.array([x[i] for x in done], t) for i, (n, t) in enumerate((("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())))})
+
+    ends = dealt.groupBy("p").applyInArrow(tell, "p int, k int, host string, path string, lines array<string>")
+    wanted = ends.select("p", "k", "host", "path").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(pair, "p int, role string, source int, k int")
+    sides = wanted.join(ends.withColumnRenamed("p", "source"), ["source", "k"]).select("p", "role", "host", "path", "lines")
+    return dealt.groupBy("p").cogroup(sides.groupBy("p")).applyInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,8 @@
 import hashlib
-import html as stdlib_html
 import random
 import re
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,13 +180,6 @@ def test_blocks():
         html.blocks_of(bad)
 
 
-def test_differencing():
-    a, b = ([(0, t) for t in x.split()] for x in ("menu login story1 story2 foot", "menu login other foot more"))
-    assert html.main_text(a, b) == "story1\nstory2" and html.main_text(b, a) == "other\nmore" and html.main_text(a, None) == "menu\nlogin\nstory1\nstory2\nfoot"
-    copy = [(0, "menu"), (2, "story"), (0, "stray")]
-    assert html.main_text(copy, copy) == "story"  # a copy of the article next to it doesn't empty it
-
-
 def test_common_lines():
     rng = random.Random(6)
     for _ in range(300):
@@ -201,18 +192,3 @@ def test_common_lines():
             got = sorted(html.common_lines(a, b, most))
             left = iter(b)
             assert len(got) == table[-1][-1] and all(a[i] in left for i in got)
-
-
-def test_extract(spark):
-    t = pq.read_table("/root/testdata/sf0.001/pages.parquet")
-    rows = [(i, u, h, 5) for i, u, h in zip(t["page_id"].to_pylist(), t["url"].to_pylist(), t["html"].to_pylist(), strict=True)]
-    more = [(1000, None, None, 1), (1001, "http://[bad", "<p>text</p>", 1), (1001, "http://[bad", "<p>text</p>", 1), (1002, "http://h.org/a/1", "<p>same</p><p>x</p>", 1), (1003, "http://h.org/a/2", "<p>same</p><p>y</p>", 1)]
-    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows + more, "page_id long, url string, html string, n_chars int")).collect()}
-    for i, _, h, _ in rows:
-        inner = re.search(r"<article>(.*?)</article>", h, re.S)[1]
-        parts = (" ".join(stdlib_html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner))
-        text = "\n".join(p for p in parts if p)
-        assert got[i] == (text, len(text))
-    assert got[1000] == ("", 0) and got[1001] == ("text", 4)
-    assert {got[1002][0], got[1003][0]} in ({"x", "y"}, {"same\nx", "same\ny"})  # without a nearest page if dealt apart
-    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
