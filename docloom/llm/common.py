@@ -88,7 +88,7 @@ def carried_fields(docs: DataFrame, carry: list[str]) -> list[T.StructField]:
     return [T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in carry]
 
 
-def carried_columns(batch: pa.RecordBatch, carry: list[str]) -> list[pa.Array]:
+def carried_columns(batch: pa.RecordBatch | pa.Table, carry: list[str]) -> list:
     """The columns of carry of a batch of with_text()."""
     return [batch.column("__text" if c == "text" else c) for c in carry]
 

@@ -8,10 +8,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, table, text_bytes
+from .common import carried, carried_columns, carried_fields, rows, table, texts_of, with_text
 
 COVERAGE = 0.8
 
@@ -207,9 +206,9 @@ def license_scan(docs: DataFrame, carry: list[str], templates: dict[str, str] |
     the first by name), its coverage (share of the template's words aligned), the positions of the first and last aligned
     word, the number of templates covered enough and their names joined by commas. None: nulls, 0 and an empty string;
     so for null, empty and blank texts. Repeated rows come out repeated; columns of docs named as ours give way."""
-    carry = [c for c in carry if c not in SCHEMA.names]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], text_bytes().alias("__bytes"))
-    schema = T.StructType([*given.schema.fields[:-1], *SCHEMA.fields])
+    carry = carried(carry, SCHEMA.names)
+    given = with_text(docs, carry)
+    schema = T.StructType([*carried_fields(docs, carry), *SCHEMA.fields])
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +216,12 @@ def license_scan(docs: DataFrame, carry: list[str], templates: dict[str, str] |
         length = {name: len(words) for name, words in scanner.templates}
         for b in rows(batches):
             got = []
-            for data in b.column(b.num_columns - 1).to_pylist():
+            for data in texts_of(b):
                 found = scanner.scan(data)
                 best = min(found, key=lambda x: (-x[1], -length[x[0]], x[0])) if found else (None,) * 4
                 got.append((*best, len(found), ",".join(x[0] for x in found)))
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], schema.names)
+            yield pa.RecordBatch.from_arrays([*carried_columns(b, carry), *cols], schema.names)
 
     return given.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, stored, table, text_bytes
+from .common import carried, carried_columns, carried_fields, rows, stored, table, text_bytes, texts_of, with_text
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the mixture's tokens.
@@ -139,16 +139,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
 def memberships(docs: DataFrame, classifier: Classifier, carry: list[str]) -> DataFrame:
     """carry, __n (words of the text) and __p_<domain> (in millionths) of every row; null text: no words."""
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], text_bytes().alias("__bytes"))
+    given = with_text(docs, carry)
     names = ["__n", *(f"__p_{d}" for d in DOMAINS)]
-    schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([*carried_fields(docs, carry), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            got = [classifier.posterior(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            got = [classifier.posterior(x) for x in texts_of(b)]
             p = np.array([g[0] for g in got]).reshape(-1, len(DOMAINS))
             cols = [pa.array([g[1] for g in got], pa.int64()), *(pa.array(np.rint(p[:, i] * UNIT).astype(np.int64)) for i in range(len(DOMAINS)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], schema.names)
+            yield pa.RecordBatch.from_arrays([*carried_columns(b, carry), *cols], schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -203,7 +203,7 @@ def mix(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, targ
     no rows: no rows. Columns of docs named as ours give way. A null doc_id draws like an id of its own.
     """
     ours = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ours]
+    carry = carried(docs.columns if carry is None else carry, ours)
     classifier = learn(docs, labels)
     history = fit_rates(stored(memberships(docs, classifier, []), "memberships"), targets, total=total, most=most)
     found = memberships(docs.withColumn("__id", F.col("doc_id")), classifier, [*carry, "__id"]).withColumn("__rate", rate(history, most))
