@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, shared_dir, stored, table, text_bytes
+from .common import bounded, carried, carried_columns, carried_fields, rows, shared_dir, stored, table, text_bytes, texts_of, with_text
 
 #: White space as the tokenizers' pattern sees it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: How patterns end that let no match cross from a piece into the next.
+WHITE = r"|\s+(?!\S)|\s+"
 PIECES = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -67,28 +70,48 @@ def token_bytes(tokenizer) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Packed ids (little-endian unsigned 32-bit) of texts. memo: a piece's packed ids; emptied at its bound."""
+    """Packed ids (little-endian unsigned 32-bit) of texts. memo: a piece's packed ids; emptied at BOUND bytes (what Python
+    needs for an entry included). Pieces of over LONG characters, such as whole texts of scripts without spaces, are
+    encoded anew each time."""
 
-    BOUND, LONG = 500_000, 4096
+    BOUND, LONG, ENTRY = 48 << 20, 256, 180
 
-    def __init__(self, tokenizer, whole: tuple[str, ...] = ()):
-        """whole: strings that the tokenizer treats apart; texts with one are encoded uncut."""
-        self.tokenizer, self.memo, self.whole = tokenizer, {}, whole
+    def __init__(self, tokenizer, whole: tuple[str, ...] = (), cut: bool = True):
+        """whole: strings that the tokenizer treats apart; texts with one are encoded uncut. cut: whether the tokenizer lets
+        texts be cut at white space at all."""
+        self.tokenizer, self.memo, self.held, self.whole, self.cut = tokenizer, {}, 0, whole, cut
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.whole) else PIECES.findall(t) for t in texts]
-        unknown = list(set().union(*(c for c in cut if c is not None)).difference(self.memo))
-        if len(self.memo) + len(unknown) > self.BOUND:
-            self.memo.clear()
-            unknown = list(set().union(*(c for c in cut if c is not None)))
+        cut = [PIECES.findall(t) if self.cut and not any(s in t for s in self.whole) else None for t in texts]
+        wanted = set().union(*(c for c in cut if c is not None))
+        if self.held > self.BOUND:
+            self.memo, self.held = {}, 0
+        memo, long, unknown = self.memo, {}, list(wanted.difference(self.memo))
         for at in range(0, len(unknown), 4096):
             some = unknown[at : at + 4096]
-            self.memo.update(zip(some, self._encode(some), strict=True))
-        memo = self.memo
-        return [self._encode([t])[0] if c is None else b"".join([memo[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
+            for piece, ids in zip(some, self._encode(some), strict=True):
+                if len(piece) > self.LONG:
+                    long[piece] = ids
+                else:
+                    memo[piece] = ids
+                    self.held += self.ENTRY + len(piece) + len(ids)
+        pick = (lambda p: long[p] if p in long else memo[p]) if long else memo.__getitem__
+        return [self._encode([t])[0] if c is None else b"".join([pick(p) for p in c]) for t, c in zip(texts, cut, strict=True)]
+
+
+class SentencePieces:
+    """As PieceEncoder, of a sentencepiece model."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.model.encode(t, add_bos=False, add_eos=False), "<u4").tobytes() for t in texts]
 
 
 def offsets(packed: bytes, sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +130,32 @@ def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, list[bytes]]:
     if (path, pattern) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = tokenizer_of_ranks(read_ranks(path), pattern)
-        _ENCODERS[path, pattern] = PieceEncoder(made), token_bytes(made)
+        _ENCODERS[path, pattern] = PieceEncoder(made, cut=pattern.endswith(WHITE)), token_bytes(made)
     return _ENCODERS[path, pattern]
 
 
-def file_encoder(path: str) -> PieceEncoder:
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is byte-level with the usual pattern and nothing before it, so that no token crosses from
+    one piece into the next."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    first = said.get("pre_tokenizer") or {}
+    return said.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True)
+
+
+def file_encoder(path: str) -> PieceEncoder | SentencePieces:
+    """For .json files of the tokenizers library and .model files of sentencepiece."""
     if (path,) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        _ENCODERS[(path,)] = (PieceEncoder(made, tuple(t.content for t in made.get_added_tokens_decoder().values())),)
+        if path.endswith(".model"):
+            _ENCODERS[(path,)] = (SentencePieces(path),)
+        else:
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_file(path)
+            made.no_truncation()
+            made.no_padding()
+            _ENCODERS[(path,)] = (PieceEncoder(made, tuple(t.content for t in made.get_added_tokens_decoder().values()), cuts_at_spaces(path)),)
     return _ENCODERS[(path,)][0]
 
 
@@ -145,16 +181,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str], ids
     extra += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")] * spans
     extra += [T.StructField("decoded", T.BinaryType())] * decoded
     extra += [T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")] * digests
-    carry = [c for c in carry if c not in {f.name for f in extra}]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], text_bytes().alias("__bytes"))
-    schema = T.StructType([*given.schema.fields[:-1], *extra])
+    carry = carried(carry, [f.name for f in extra])
+    given = with_text(docs, carry)
+    schema = T.StructType([*carried_fields(docs, carry), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, back = rank_encoder(ranks_path, pattern)
         sizes = np.array([len(x) for x in back] or [0])
         for b in rows(batches):
-            at = 0
-            for data in groups(b.column(b.num_columns - 1).to_pylist(), len):
+            at, own = 0, carried_columns(b, carry)
+            for data in groups(texts_of(b), len):
                 found = encoder.packed([x.decode("utf-8", "replace") for x in data])
                 cols = [pa.array([len(p) // 4 for p in found], pa.int64())]
                 if ids:
@@ -167,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str], ids
                     cols += [pa.array(texts, pa.binary())] * decoded
                 if digests:
                     cols += [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (found, texts)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(data)) for c in b.columns[:-1]), *cols], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(data)) for c in own), *cols], schema.names)
                 at += len(data)
 
     return given.mapInArrow(run, schema)
@@ -210,7 +246,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, carry: list[str]) -> Da
     rows come out repeated; no rows: no rows, and nothing is appended.
     """
     spark, version = docs.sparkSession, tokenizer_digest(path)
-    carry = [c for c in carry if c not in ("n_bytes", "n_tokens")]
+    carry = carried(carry, ("n_bytes", "n_tokens"))
+    bounded(spark)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(cache)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
