@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, table
+from .common import bounded, carried, carried_columns, carried_fields, rows, table, with_text
 
 #: Grams of 1 to LONGEST characters of each word between two marks; a profile has the TOP most frequent.
 LONGEST, TOP = 3, 300
@@ -29,9 +29,10 @@ def grams(word: str) -> list[str]:
 
 
 class GramCounter:
-    """Counts of grams of texts, by numbers given to grams as they come; `first` have the first numbers."""
+    """Counts of grams of texts, by numbers given to grams as they come; `first` have the first numbers. Words' grams are
+    remembered, up to BOUND words or grams."""
 
-    BOUND = 200_000
+    BOUND = 100_000
 
     def __init__(self, first: list[str] = ()):
         self.first = list(first)
@@ -39,45 +40,43 @@ class GramCounter:
 
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
-        self.order: list[int] = []
+        self.ties = np.zeros(1024, np.uint64)  # what orders grams of equal counts
         self.words: dict[str, np.ndarray] = {}
         for g in self.first:
             self.number(g)
-        self._ties = None
 
     def number(self, gram: str) -> int:
-        if gram not in self.ids:
-            self.ids[gram] = len(self.ids)
-            self.order.append(xxhash.xxh64_intdigest(gram))
-        return self.ids[gram]
+        if (known := self.ids.get(gram)) is not None:
+            return known
+        n = self.ids[gram] = len(self.ids)
+        if n == len(self.ties):
+            self.ties = np.concatenate([self.ties, np.zeros(n, np.uint64)])
+        self.ties[n] = xxhash.xxh64_intdigest(gram)
+        return n
 
     def of(self, word: str) -> np.ndarray:
-        if word not in self.words:
-            self.words[word] = np.array([self.number(g) for g in grams(word)], np.int64)
-        return self.words[word]
+        known = self.words.get(word)
+        if known is None:
+            known = self.words[word] = np.array([self.number(g) for g in grams(word)], np.int64)
+        return known
 
-    def count(self, words: list[str]) -> np.ndarray:
+    def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the grams that words have, and how often; each distinct word is looked up once."""
         if len(self.words) > self.BOUND or len(self.ids) > self.BOUND:
             self.reset()
-        total = np.zeros(0, np.int64)
-        for at in range(0, len(words), 20_000):
-            part = np.bincount(np.concatenate([self.of(w) for w in words[at : at + 20_000]]))
-            if len(part) < len(total):
-                part, total = total, part
-            part[: len(total)] += total
-            total = part
-        return total
+        times = Counter(words)
+        own = [self.of(w) for w in times]
+        ids, weights = np.concatenate(own), np.repeat(np.fromiter(times.values(), np.int64, len(times)), np.fromiter(map(len, own), np.int64, len(own)))
+        found, at = np.unique(ids, return_inverse=True)
+        return found, np.bincount(at, weights).astype(np.int64)
 
     def top(self, words: list[str], most: int = TOP) -> np.ndarray:
         """Numbers of the most frequent grams, most frequent first, ties in an order that depends on the gram alone."""
-        counts = self.count(words)
-        some = np.flatnonzero(counts)
-        c = counts[some]
+        some, counts = self.count(words)
         if len(some) > most:
-            some = some[c >= np.partition(c, len(c) - most)[len(c) - most]]
-        if self._ties is None or len(self._ties) != len(self.order):
-            self._ties = np.array(self.order, np.uint64)
-        return some[np.lexsort((self._ties[some], -counts[some]))][:most]
+            enough = counts >= np.partition(counts, len(counts) - most)[len(counts) - most]
+            some, counts = some[enough], counts[enough]
+        return some[np.lexsort((self.ties[some], -counts))][:most]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -89,6 +88,7 @@ def words_of(text: str | None) -> list[str]:
 def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str, list[str]]:
     """Language -> its most frequent grams in order. labelled: doc_id, text, lang; rows without lang or text teach
     nothing. What comes to the driver is one count and `top` grams for each language."""
+    bounded(labelled.sparkSession)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {r["lang"]: min(1.0, sample / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
@@ -96,15 +96,23 @@ def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) ->
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) * (1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = counts.setdefault(lang, Counter())
-                for w, n in Counter(words_of(text)).items():
+        words: dict[str, Counter] = {}  # by language
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, times in words.items():
+                own: Counter = Counter()
+                for w, n in times.items():
                     for g in grams(w):
                         own[g] += n
-        for lang, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])
+            words.clear()
+
+        for b in rows(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, words.values())) > GramCounter.BOUND:
+                yield from told()
+        yield from told()
 
     counts = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= top)
@@ -140,15 +148,15 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, list[str]], carry: list[str]) -> DataFrame:
     """carry, lang_pred, score of every row's whole text. Null text or one without a letter: und, 0. Nothing learned: und,
     0. Repeated rows come out repeated; columns of docs named as ours give way."""
-    carry = [c for c in carry if c not in ("lang_pred", "score")]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    carry = carried(carry, ("lang_pred", "score"))
+    given = with_text(docs, carry)
+    schema = T.StructType([*carried_fields(docs, carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
         for b in rows(batches):
-            got = [known.predict(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], schema.names)
+            got = [known.predict(x) for x in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*carried_columns(b, carry), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], schema.names)
 
     return given.mapInArrow(run, schema)
 
