@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows, stored, table, text_bytes
+from .common import rows, stored, table, texts_of, with_text
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -44,10 +44,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(x) for x in texts_of(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, fp long")
+    return with_text(docs, [], F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -57,9 +57,29 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [int(np.uint64(sum(x)).view(np.int64)) for x in combinations(one, blocks - distance)]
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what all links of at most distance between fps connect; fewer than fps, whatever their number."""
+LARGE = 2048  # fingerprints of a bucket that are compared one with all; larger ones are parted first
+
+
+def parts_of(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Parts of a bucket of which some holds both of any two at `distance` or less: the bits in which its fingerprints differ
+    are dealt into distance + 1 blocks, and two so near are equal in one of them."""
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [1 << i for i in range(64) if differ >> i & 1]
+    for i in range(distance + 1):
+        block = fps & np.uint64(sum(bits[i :: distance + 1]))
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order])) + 1
+        yield from (x for x in np.split(fps[order], edges) if len(x) > 1)
+
+
+def forest(fps: np.ndarray, distance: int, large: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links of at most distance between fps connect; not more than distance + 1 for each of
+    fps, or each again of a large part of them."""
+    large = LARGE if large is None else large
     src, dst, rest = [fps[:0]], [fps[:0]], fps
+    if len(fps) > large:
+        found = [forest(x, distance, large if len(x) < len(fps) else len(x)) for x in parts_of(fps, distance)]
+        return tuple(np.concatenate([fps[:0], *x]) for x in zip(*found, strict=True)) if found else (fps[:0], fps[:0])
     while len(rest):
         frontier, rest = [rest[:1]], rest[1:]
         while frontier and len(rest):
@@ -124,13 +144,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
     Fingerprints of null, empty and blank texts are 0 and link like any other. Rows of one fingerprint are one node,
     however many; repeated rows come out repeated. A null doc_id takes part but is never a component's id unless all
-    are null. Empty input: no rows. Further columns of docs are ignored.
+    are null. Very long texts are hashed whole, in pieces. Empty input: no rows. Further columns of docs are ignored.
     """
     fps = stored(fingerprints(docs), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     root = components(links(nodes.select("fp"), distance, blocks))
-    named = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "components")
+    ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")  # written, so that the join can split a root that many have
     member = named.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
     return fps.join(member, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
