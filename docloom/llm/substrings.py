@@ -8,11 +8,13 @@ tell each other goes through shards:
    more than one document has. Only windows with such an anchor can recur.
 2. Confirmation. Each batch sends the stretches of text that hold such windows, each distinct stretch once with its
    smallest and largest doc_id. A shard finds for each window the smallest doc_id that has it and answers a batch with
-   the stretches whose windows begin in a smaller doc_id than some document of the batch has.
+   the stretches whose windows begin in a smaller doc_id than some document of the batch has. Stretches travel packed and
+   compressed, one row for each batch and shard.
 3. Automata. Each batch compiles the answered phrases into Aho-Corasick automata over words and streams its documents
    through them; a hit is confirmed word by word against the phrases' windows.
 
-A passage that a third of all documents share is one entry for each batch in every exchange.
+A passage that a third of all documents share is one entry for each batch in every exchange, and its stretches are spread
+over the shards; with batch_bytes so large that batches are at most some hundred thousand, such an entry stays small.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered, table, text_bytes, text_size, window_hashes, word_hashes, word_spans
+from .common import carried, carried_columns, carried_fields, covered, table, text_size, texts_of, window_hashes, with_text, word_hashes, word_spans
 
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM, MAX = 13, 6, (1 << 63) - 1
+OURS = ("n_words", "n_removed", "kept_words", "kept_text")
 #: Bytes of text in a batch, and for each shard; phrases in an automaton.
-BATCH_BYTES, SHARD_BYTES, AUTOMATON = 8 << 20, 48 << 20, 100_000
+BATCH_BYTES, SHARD_BYTES, AUTOMATON = 6 << 20, 16 << 20, 100_000
 
 
 def window_anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -46,8 +51,24 @@ def window_anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 def _documents(batch: pa.Table) -> Iterator[tuple[int | None, bytes]]:
-    for chunk in batch.select(["__id", "__bytes"]).to_batches(max_chunksize=256):
-        yield from zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True)
+    for chunk in batch.select(["__id", "__text"]).to_batches(max_chunksize=256):
+        yield from zip(chunk.column(0).to_pylist(), texts_of(chunk), strict=True)
+
+
+def packed(texts: list[bytes], *numbers: np.ndarray) -> bytes:
+    """Texts without line ends and arrays of long, compressed."""
+    sizes = np.array([len(texts), *map(len, numbers)], np.int64)
+    return zstandard.compress(b"".join([sizes.tobytes(), *(x.astype(np.int64).tobytes() for x in numbers), b"\n".join(texts)]), 1)
+
+
+def unpacked(blob: bytes, arrays: int) -> tuple:
+    data = zstandard.decompress(blob)
+    n, *sizes = np.frombuffer(data, np.int64, 1 + arrays).tolist()
+    at, out = 8 * (1 + arrays), []
+    for size in sizes:
+        out.append(np.frombuffer(data, np.int64, size, at))
+        at += 8 * size
+    return (data[at:].split(b"\n") if n else [], *out)
 
 
 def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -95,7 +116,7 @@ def answer_anchors(sent: pa.Table) -> pa.Table:
 
 
 def send_stretches(batch: pa.Table, answers: pa.Table, b: int, shards: int, window: int, gram: int) -> pa.Table:
-    found: dict[tuple[int, bytes], list[int]] = {}
+    found: dict[int, dict[bytes, list[int]]] = {}  # by shard
     if answers.num_rows:
         recurring = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers["blob"].to_pylist()]))
         for doc_id, data in _documents(batch):
@@ -110,51 +131,52 @@ def send_stretches(batch: pa.Table, answers: pa.Table, b: int, shards: int, wind
             stop = np.r_[edge[1:], len(anchor)]
             picked = hit[edge]
             for s, e, p in zip(edge[picked].tolist(), stop[picked].tolist(), _shard(anchor[edge[picked]], shards).tolist(), strict=True):
+                own = found.setdefault(p, {})
                 while s < e:  # repeats in a text can chain windows of one anchor; a stretch has the windows that share it
                     upto = min(e, s + window - gram + 1)
-                    key = p, b" ".join(data[begins[s] : ends[upto + window - 2]].split())
-                    if (known := found.get(key)) is None:
-                        found[key] = [doc_id, doc_id]
+                    words = b" ".join(data[begins[s] : ends[upto + window - 2]].split())
+                    if (known := own.get(words)) is None:
+                        own[words] = [doc_id, doc_id]
                     elif doc_id < known[0]:
                         known[0] = doc_id
                     elif doc_id > known[1]:
                         known[1] = doc_id
                     s = upto
-    return pa.table(
-        {
-            "p": pa.array([k[0] for k in found], pa.int32()), "b": pa.array([b] * len(found), pa.int32()), "words": pa.array([k[1] for k in found], pa.binary()),
-            "first": pa.array([v[0] for v in found.values()], pa.int64()), "last": pa.array([v[1] for v in found.values()], pa.int64()),
-        }
-    )
+    blobs = []
+    for own in found.values():
+        span = np.array(list(own.values()), np.int64)
+        blobs.append(packed(list(own), span[:, 0], span[:, 1]))
+    return pa.table({"p": pa.array(found, pa.int32()), "b": pa.array([b] * len(found), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
 def answer_stretches(sent: pa.Table, window: int) -> pa.Table:
     """Stretches with, for each of their windows, the smallest doc_id that has it; only those that some document of the
     batch has after it. Windows are told apart by 64-bit hashes here, word by word in the automata."""
-    counts, first, last = [], sent["first"].to_numpy(), sent["last"].to_numpy()
-    texts = sent["words"].combine_chunks()
-    wh = []
-    for chunk in sent.select(["words"]).to_batches(max_chunksize=20_000):
-        some = chunk.column(0).to_pylist()
+    wh, counts, first, last = [], [], [], []
+    for blob in sent["blob"].to_pylist():
+        some, a, b = unpacked(blob, 2)
         sizes = np.fromiter((x.count(b" ") + 1 for x in some), np.int64, len(some))
         h = window_hashes(word_hashes(b" ".join(some)), window)
         n = sizes - window + 1  # windows of each stretch
         wh.append(h[np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         counts.append(n)
-    wh, counts = np.concatenate(wh), np.concatenate(counts)
-    row = np.repeat(np.arange(len(counts)), counts)
-    order = np.argsort(wh, kind="stable")
-    edge = np.flatnonzero(np.r_[True, wh[order][1:] != wh[order][:-1]])
-    least = np.empty(len(wh), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(first[row[order]], edge), np.diff(np.r_[edge, len(wh)]))
-    needed = least < last[row]
-    least[~needed] = np.iinfo(np.int64).max
-    use = np.zeros(len(counts), bool)
-    use[row[needed]] = True
-    picked = np.flatnonzero(use)
-    ends = np.cumsum(counts)
-    lists = [least[ends[i] - counts[i] : ends[i]] for i in picked.tolist()]
-    return pa.table({"b": sent["b"].take(picked).combine_chunks(), "words": texts.take(pa.array(picked)), "firsts": pa.array(lists, pa.list_(pa.int64()))})
+        first.append(np.repeat(a, n))
+        last.append(np.repeat(b, n))
+    hashes = np.concatenate(wh)
+    order = np.argsort(hashes, kind="stable")
+    edge = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    least = np.empty(len(hashes), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(np.concatenate(first)[order], edge), np.diff(np.r_[edge, len(hashes)]))
+    least[least >= np.concatenate(last)] = np.iinfo(np.int64).max  # no document of the batch has it after another
+    out, at = [], 0
+    for b, blob, n in zip(sent["b"].to_pylist(), sent["blob"].to_pylist(), counts, strict=True):
+        own = least[at : at + n.sum()]
+        at += len(own)
+        use = np.minimum.reduceat(own, np.cumsum(n) - n) < np.iinfo(np.int64).max
+        if use.any():
+            texts = unpacked(blob, 2)[0]
+            out.append((b, packed([texts[i] for i in np.flatnonzero(use).tolist()], own[np.repeat(use, n)])))
+    return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 
 class Phrases:
@@ -165,11 +187,11 @@ class Phrases:
 
     DIGITS = 3
 
-    def __init__(self, phrases: list[tuple[bytes, list[int]]], window: int, gram: int = GRAM):
+    def __init__(self, phrases: list[bytes], firsts: np.ndarray, window: int, gram: int = GRAM):
+        """firsts: for each window of each phrase the smallest doc_id that has it."""
         import ahocorasick
 
-        cut = [words.split(b" ") for words, _ in phrases]
-        distinct = sorted(set().union(*cut))
+        distinct = sorted(set().union(*(x.split(b" ") for x in phrases)))
         base = next(b for b in range(2, 1 << 16) if b**self.DIGITS > len(distinct))
         letter = [chr(x if x < 0xD800 else x + 0x800) for x in range(1 + self.DIGITS * base)]
         self.window, self.gram, self.nothing = window, gram, "\0" * self.DIGITS
@@ -177,12 +199,12 @@ class Phrases:
         self.firsts: dict[str, int] = {}
         patterns: set[str] = set()
         size, d, codes, known = window * self.DIGITS, self.DIGITS, self.codes, self.firsts
-        for words, (_, firsts) in zip(cut, phrases, strict=True):
-            text = "".join([codes[w] for w in words])
+        left = iter(firsts.tolist())
+        for words in phrases:
+            text = "".join([codes[w] for w in words.split(b" ")])
             patterns.add(text[len(text) - size : len(text) - size + gram * d])
-            for s, first in enumerate(firsts):
-                key = text[s * d : s * d + size]
-                if first < known.get(key, 1 << 63):
+            for at in range(0, len(text) - size + 1, d):
+                if (first := next(left)) < MAX and first < known.get(key := text[at : at + size], MAX):
                     known[key] = first
         self.automata, todo = [], sorted(patterns)
         for at in range(0, len(todo), AUTOMATON):
@@ -224,23 +246,23 @@ def without(data: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """carry (all columns by default), n_words, n_removed, kept_words (the kept words joined by one space) and kept_text (the
-    text without the removed words and the white space after each) of every row of docs (doc_id, text).
+def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, give: tuple[str, ...] = OURS) -> DataFrame:
+    """carry (all columns by default) and give of every row of docs (doc_id, text): n_words, n_removed, kept_words (the kept
+    words joined by one space) and kept_text (the text without the removed words and the white space after each).
 
     A word is removed if a window that covers it also begins in a document with a smaller doc_id. Null, empty and short
-    texts have no window and lose nothing (null counts as empty). Rows of one doc_id count as one document: they don't
-    remove each other's words. A null doc_id neither removes nor loses words. Columns of docs named as ours give way.
+    texts have no window and lose nothing (null counts as empty; its kept_text is null). Rows of one doc_id count as one
+    document: they don't remove each other's words. A null doc_id neither removes nor loses words. Very long texts are
+    searched whole, a batch of their own; no rows: no rows. Columns of docs named as ours give way. Rows are dealt by a
+    hash of doc_id and text, so only rows that repeat in both meet in a batch.
     """
-    ours = ("n_words", "n_removed", "kept_words", "kept_text")
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ours]
+    carry = carried(docs.columns if carry is None else carry, OURS)
     size = text_size(docs)
     batches, shards = -(-size // batch_bytes) or 1, -(-size // shard_bytes) or 1
-    given = docs.select(
-        *[F.col(f"`{c}`") for c in carry], F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("__bytes"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("__b"),
-    )
-    schema = T.StructType([*given.schema.fields[: len(carry)], *(T.StructField(n, T.LongType()) for n in ours[:2]), *(T.StructField(n, T.StringType()) for n in ours[2:])])
+    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("__b")
+    given = with_text(docs, carry, F.col("doc_id").cast("long").alias("__id"), deal)
+    kinds = dict(zip(OURS, (T.LongType(), T.LongType(), T.StringType(), T.StringType()), strict=True))
+    schema = T.StructType([*carried_fields(docs, carry), *(T.StructField(n, kinds[n]) for n in give)])
     dealt = given.groupBy("__b")
 
     def anchors(key, batch):
@@ -250,25 +272,32 @@ def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: in
         return send_stretches(batch, answers, key[0].as_py(), shards, window, gram)
 
     def remove(key, batch, phrases):
-        known = Phrases(list(zip(phrases["words"].to_pylist(), phrases["firsts"].to_pylist(), strict=True)), window, gram)
-        cols: list[list] = [[], [], [], []]
+        sent = [unpacked(x, 1) for x in phrases["blob"].to_pylist()]
+        known = Phrases([x for texts, _ in sent for x in texts], np.concatenate([np.empty(0, np.int64), *(f for _, f in sent)]), window, gram)
+        del sent
+        cols: dict[str, list] = {n: [] for n in OURS}
         for doc_id, data in _documents(batch):
             words = data.split()
             gone = known.removed(words, doc_id) if known.automata and doc_id is not None and len(words) >= window else None
             n = int(gone.sum()) if gone is not None else 0
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words
-            for c, v in zip(cols, (len(words), n, b" ".join(kept), without(data, gone) if n else data), strict=True):
-                c.append(v)
-        made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()).cast(pa.string()) for c in cols[2:])]
-        return pa.Table.from_arrays([*(batch[c] for c in carry), *made], names=[*carry, *ours])
+            cols["n_words"].append(len(words))
+            cols["n_removed"].append(n)
+            if "kept_words" in give:
+                cols["kept_words"].append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words))
+            if "kept_text" in give:
+                cols["kept_text"].append(without(data, gone) if n else data)
+        made = {n: pa.array(cols[n], pa.int64()) if kinds[n] == T.LongType() else pa.array(cols[n], pa.binary()).cast(pa.string()) for n in give}
+        if "kept_text" in give:
+            made["kept_text"] = pc.if_else(pc.is_null(batch["__text"].combine_chunks()), pa.scalar(None, pa.string()), made["kept_text"])
+        return pa.Table.from_arrays([*carried_columns(batch, carry), *made.values()], names=[*carry, *give])
 
     sent = dealt.applyInArrow(anchors, "p int, b int, blob binary")
     answers = sent.groupBy("p").applyInArrow(lambda x: answer_anchors(x), "b int, blob binary")
-    told = dealt.cogroup(answers.groupBy("b")).applyInArrow(stretches, "p int, b int, words binary, first long, last long")
-    phrases = told.groupBy("p").applyInArrow(lambda x: answer_stretches(x, window), "b int, words binary, firsts array<long>")
+    told = dealt.cogroup(answers.groupBy("b")).applyInArrow(stretches, "p int, b int, blob binary")
+    phrases = told.groupBy("p").applyInArrow(lambda x: answer_stretches(x, window), "b int, blob binary")
     return dealt.cogroup(phrases.groupBy("b")).applyInArrow(remove, schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"], give=("n_words", "n_removed", "kept_words"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))

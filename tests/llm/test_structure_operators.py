@@ -39,7 +39,7 @@ def brute_dedup(given, k=13):
 def dedup(df, **more):
     rows = substrings.dedup_substrings(df, ["doc_id"], **more).collect()
     for r in rows:
-        assert WORD.findall(r.kept_text) == r.kept_words.split(" ") if r.kept_words else not r.kept_text.strip()
+        assert WORD.findall(r.kept_text) == r.kept_words.split(" ") if r.kept_words else not (r.kept_text or "").strip()
     return sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_words.encode()).hexdigest()) for r in rows)
 
 
