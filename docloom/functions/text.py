@@ -10,7 +10,8 @@ SPACE = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Both ends without white space. The look-behind keeps the search for the end from starting anew within a run."""
+    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def normal_lines(text: Column) -> Column:
@@ -18,10 +19,16 @@ def normal_lines(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, r"\r\n?", "\n"))
 
 
+def pieces(text: Column) -> Column:
+    """Pieces between runs of white space, empty ones at the ends counted."""
+    return F.size(F.split(text, f"{SPACE}+"))
+
+
 def word_count(text: Column) -> Column:
-    """0 for blank or null text."""
-    t = trimmed(F.coalesce(text, F.lit("")))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"{SPACE}+"))).cast("long")
+    """0 for blank or null text. Pieces less the empty ones at the ends."""
+    t = F.coalesce(text, F.lit(""))
+    first, last = F.substring(t, 1, 1).rlike(SPACE).cast("int"), F.substring(t, -1, 1).rlike(SPACE).cast("int")
+    return F.when(t == "", 0).otherwise(pieces(t) - first - last).cast("long")
 
 
 def token_estimate(text: Column) -> Column:
@@ -31,7 +38,7 @@ def token_estimate(text: Column) -> Column:
 
 def billed_tokens(text: Column) -> Column:
     """Three quarters of the pieces between white space, empty ones counted, rounded up: what usage is billed by."""
-    return F.ceil(F.size(F.split(text, f"{SPACE}+")) * 0.75).cast("long")
+    return F.ceil(pieces(text) * 0.75).cast("long")
 
 
 def heading(text: Column, fallback: Column | None = None) -> Column:

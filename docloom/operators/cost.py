@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import budget_state, price
+from ..session import stored
 
 BUDGET, SILENCE = 10.0, timedelta(hours=24)
 
@@ -72,30 +72,39 @@ def new_alerts(candidates: DataFrame, alerts: DataFrame) -> DataFrame:
     return c.join(a, near, "left_anti")
 
 
-def replay_alerts(usage: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The alerts that a log of usage would have raised: after each request the month's spend so far is held against the
-    budget, and an alert is silent if one of its type was raised less than a day before. Spend is summed by hour and
-    then within hours, so no task has more than an hour's requests; only requests that pass a threshold reach Python."""
+def over_budget(usage: DataFrame, budget: float) -> DataFrame:
+    """alert_type, created_at, usage_id, current_spend_usd of every request after which the month's spend so far passes a
+    threshold. Spend is summed by hour and then within hours, so no task has more than an hour's requests."""
     hour = F.date_trunc("hour", "created_at")
     month = Window.partitionBy(F.date_trunc("month", "hour")).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     before = usage.groupBy(hour.alias("hour")).agg(F.sum("cost_usd").alias("s")).select("hour", F.coalesce(F.sum("s").over(month), F.lit(0)).alias("before"))
     within = Window.partitionBy("hour").orderBy("created_at", "usage_id").rowsBetween(Window.unboundedPreceding, 0)
     spent = usage.withColumn("hour", hour).withColumn("so_far", F.sum("cost_usd").over(within)).join(before, "hour")
-    over = spent.withColumn("current_spend_usd", (F.col("before") + F.col("so_far")).cast("double")).withColumn("alert_type", budget_state(F.col("current_spend_usd"), budget)).filter("alert_type is not null")
-    # of the requests of an hour only the first can raise an alert
-    hourly = over.groupBy("alert_type", "hour").agg(F.min(F.struct("created_at", "usage_id", "current_spend_usd")).alias("first"), F.max(F.struct("created_at", "usage_id", "current_spend_usd")).alias("last"))
-    both = hourly.select("alert_type", F.explode(F.array("first", "last")).alias("x")).select("alert_type", "x.*").distinct()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for i, t in enumerate(group.sort_values(["created_at", "usage_id"])["created_at"]):
-            if last is None or t - last >= SILENCE:
-                keep.append(i)
-                last = t
-        return group.sort_values(["created_at", "usage_id"]).iloc[keep][["alert_type", "created_at", "usage_id", "current_spend_usd"]].rename(columns={"created_at": "triggered_at"})
-
-    kind = dict(usage.dtypes)["created_at"]
-    return both.groupBy("alert_type").applyInPandas(run, f"alert_type string, triggered_at {kind}, usage_id long, current_spend_usd double")
+    total = (F.col("before") + F.col("so_far")).cast("double")
+    return spent.select(budget_state(total, budget).alias("alert_type"), "created_at", "usage_id", total.alias("current_spend_usd")).filter("alert_type is not null")
+
+
+def replay_alerts(usage: DataFrame, budget: float = BUDGET, silence: timedelta = SILENCE) -> DataFrame:
+    """The alerts that a log of usage would have raised: after each request the month's spend so far is held against the
+    budget, and an alert is silent if one of its type was raised less than `silence` before. The requests that pass a
+    threshold are written, sorted by time; then each step finds, for every type at once, the first of them that is at
+    least `silence` after the last alert. There are as many steps as a type has alerts, at most one for each `silence`
+    that the log spans; a step reads only what lies after the earliest last alert."""
+    spark, kind = usage.sparkSession, dict(usage.dtypes)["created_at"]
+    over = stored(over_budget(usage, budget).orderBy("created_at"), "over-budget")
+    first = F.min(F.struct("created_at", "usage_id", "current_spend_usd")).alias("x")
+    raised, last = [], {}
+    while True:
+        ready = F.lit(not raised)
+        for k, t in last.items():
+            then = F.lit(str(t + silence)).cast(kind) if kind == "timestamp_ntz" else F.lit(t + silence)
+            ready = ready | (F.col("alert_type") == k) & (F.col("created_at") >= then)
+        found = [(r["alert_type"], *r["x"]) for r in over.filter(ready).groupBy("alert_type").agg(first).collect()]
+        if not found:
+            break
+        raised += found
+        last = {k: t for k, t, *_ in found}  # a type without another alert is done
+    return spark.createDataFrame(raised, f"alert_type string, triggered_at {kind}, usage_id long, current_spend_usd double")
 
 
 def recent_alerts(alerts: DataFrame, limit: int = 10) -> DataFrame:

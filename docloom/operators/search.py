@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, vectors
+from ..functions import metadata, rules, text, vectors
 
 RRF_K, WEIGHTS = 60, (0.7, 0.3)
 VECTOR_TOP, LEXICAL_TOP, HYBRID_TOP, EXPANSION, MIN_SIMILARITY = 5, 30, 10, 3, 0.5
@@ -50,35 +50,44 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, top: int = VECTOR
     right = c.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), block(n_c, 2).alias("c"))
 
     def cell(a, b):
-        out = {"query_id": [], "chunk_id": [], "similarity": []}
+        out = {"query_id": [np.empty(0, np.int64)], "chunk_id": [np.empty(0, np.int64)], "similarity": [np.empty(0)]}
         if a.num_rows and b.num_rows:
-            sides = []
-            for t in (a, b):
-                v = t["v"].to_pylist()
-                sides.append((t["id"].to_numpy(), [np.array(x) for x in v]))
-            for d in {len(x) for x in sides[0][1]}:
-                (qi, qm), (ci, cm) = (_unit(ids, v, d) for ids, v in sides)
-                if not len(ci):
+            left, right = _by_dimension(a), _by_dimension(b)
+            for d, (qi, qm) in left.items():
+                if d not in right:
                     continue
+                ci, cm = right[d]
                 sim = np.round(qm @ cm.T, 12)
-                for i, row in enumerate(sim):
-                    keep = np.flatnonzero((row >= min_similarity) & ((ci != qi[i]) | (not exclude_self)))
-                    best = keep[np.lexsort((ci[keep], -row[keep]))[:top]]
-                    out["query_id"] += [qi[i]] * len(best)
-                    out["chunk_id"] += ci[best].tolist()
-                    out["similarity"] += row[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "chunk_id": pa.array(out["chunk_id"], pa.int64()), "similarity": pa.array(out["similarity"], pa.float64())})
+                sim[(sim < min_similarity) | ((ci == qi[:, None]) & exclude_self)] = -np.inf
+                if len(ci) > top:  # more than `top` only where the last place is tied
+                    i, j = np.nonzero((sim >= np.partition(sim, len(ci) - top, axis=1)[:, len(ci) - top, None]) & (sim > -np.inf))
+                else:
+                    i, j = np.nonzero(sim > -np.inf)
+                score = sim[i, j]
+                by = np.lexsort((ci[j], -score, i))
+                i, j, score = i[by], j[by], score[by]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < top
+                out["query_id"].append(qi[i[best]])
+                out["chunk_id"].append(ci[j[best]])
+                out["similarity"].append(score[best])
+        return pa.table({k: np.concatenate(v) for k, v in out.items()})
 
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(cell, "query_id long, chunk_id long, similarity double")
     return ranked(found, "similarity", top)
 
 
-def _unit(ids: np.ndarray, v: list[np.ndarray], d: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of d dimensions and their ids, made of length one; zero vectors stay zero."""
-    at = [i for i, x in enumerate(v) if len(x) == d]
-    m = np.stack([v[i] for i in at]) if at else np.zeros((0, d))
-    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return ids[at], np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+def _by_dimension(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """dimension -> ids and vectors made of length one; zero vectors stay zero."""
+    v = t["v"].combine_chunks()
+    v = v if isinstance(v, pa.ListArray) else pa.concat_arrays(v.chunks)
+    ids, flat, starts = t["id"].to_numpy(), v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
+    sizes, out = np.diff(starts), {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        m = flat[starts[at][:, None] + np.arange(d)]
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        out[d] = ids[at], np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    return out
 
 
 def ranked(df: DataFrame, score: str, top: int) -> DataFrame:
@@ -205,9 +214,16 @@ def trusted(results: DataFrame, quality: Column, verified: Column, as_of: Column
 
 
 def cited(results: DataFrame) -> DataFrame:
-    """citation_page (a number or text of the metadata) and citation_section (heading, else section); NaN similarity as 0."""
-    key = lambda k: F.try_element_at("metadata", F.lit(k))
-    return results.withColumns({"citation_page": key("page"), "citation_section": F.coalesce(key("heading"), key("section")), "similarity": F.nanvl("similarity", F.lit(0.0))})
+    """citation_page (a number or text of the metadata) and citation_section (heading, else section, if text); NaN similarity
+    as 0. metadata is a map of text, or JSON text, whose values have types."""
+    if dict(results.dtypes)["metadata"] == "string":
+        typed = lambda k, *kinds: F.when(metadata.json_type(F.col("metadata"), k).isin(*kinds), metadata.json_text(F.col("metadata"), k))
+        found = F.coalesce(metadata.json_type(F.col("metadata"), "heading"), F.lit("null"))
+        page, section = typed("page", "string", "number"), F.when(found != "null", typed("heading", "string")).otherwise(typed("section", "string"))
+    else:
+        key = lambda k: F.try_element_at("metadata", F.lit(k))
+        page, section = key("page"), F.coalesce(key("heading"), key("section"))
+    return results.withColumns({"citation_page": page, "citation_section": section, "similarity": F.nanvl("similarity", F.lit(0.0))})
 
 
 def counters(results: DataFrame) -> DataFrame:

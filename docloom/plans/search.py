@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import approaches as groups
 from ..operators import embed, rerank, search
+from ..session import stored
 from .config import Config
 
 MODES = ("vector", "hybrid")
@@ -90,8 +91,7 @@ def compare(results: DataFrame, query: str, as_of: datetime, config: Config, mak
     if not config.comparison:
         raise PermissionError("comparison is switched off")
     used = results.filter(F.col("pos") <= most).withColumn("query", F.lit(query))
-    found = groups.approaches(groups.clustered(used), F.lit(as_of).cast("timestamp")).cache()
+    found = stored(groups.approaches(groups.clustered(used), F.lit(as_of).cast("timestamp")), "approaches")
     none = results.sparkSession.createDataFrame([], "query_id long, pair_rank int, topic string, a_title string, a_url string, b_title string, b_url string, severity string, difference string, recommendation string, confidence double")
-    conflicts = groups.judge(groups.conflict_pairs(found), found, make_judge) if config.contradictions and make_judge is not None else none
-    conflicts = conflicts.cache()
+    conflicts = stored(groups.judge(groups.conflict_pairs(found), found, make_judge), "conflicts") if config.contradictions and make_judge is not None else none  # a judge is asked once
     return {"approaches": found, "conflicts": conflicts, "recommended": groups.recommended(found, conflicts)}

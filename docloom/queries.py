@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import present, rules, text, urls, vectors
 from .operators import approaches as groups
-from .operators import catalog, chunk, cost, embed, evaluate, rerank, search
-from .plans.ingest import ingest
+from .operators import catalog, cost, evaluate, rerank, search
 from .session import load
 from .sources import files, web
 from .streaming import flows
@@ -128,11 +127,6 @@ def lexical_prefix_match(spark, sf):
     return search.lexical_search(chunks(spark, sf), TERMS).withColumn("score", F.round("score", 9))
 
 
-@query()
-def lexical_cover_density(spark, sf):
-    return search.cover_density_search(chunks(spark, sf), TERMS)
-
-
 @query(f"SELECT term, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_positions FROM (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({_TOKENS}) AS term FROM {_CHUNKS}) GROUP BY ALL) GROUP BY term")
 def term_index(spark, sf):
     return search.term_index(chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum(F.size("positions")).cast("long").alias("n_positions"))
@@ -324,11 +318,6 @@ def usage_windows(spark, sf):
     return flows.usage_windows(usage(spark, sf)).withColumns({"total_cost": F.col("total_cost").cast("double"), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
-@query()
-def alert_replay(spark, sf):
-    return cost.replay_alerts(usage(spark, sf), 100)
-
-
 @query(f"SELECT usage_id FROM {_USAGE} WHERE operation = 'error' ORDER BY created_at DESC LIMIT 50")
 def recent_alerts(spark, sf):
     return cost.recent_alerts(usage(spark, sf).filter("operation = 'error'").select("usage_id", F.col("created_at").alias("triggered_at"), F.col("operation").alias("alert_type")), 99).select("usage_id")
@@ -377,24 +366,6 @@ def trust_and_recency(spark, sf):
     return rated_documents(spark, sf).select("doc_id", rules.quality_weight(F.col("q")).alias("trust"), rules.recency_weight(F.col("day"), now).alias("recency"), rules.freshness(F.col("day"), now).alias("freshness"))
 
 
-@query()
-def chunk_documents(spark, sf):
-    return chunk.chunk_documents(load(spark, sf, "documents"), ["doc_id"])
-
-
-@query()
-def embedded_chunks(spark, sf):
-    given = load(spark, sf, "benchmark").withColumn("provider", F.when(F.col("item_id") % 2 == 0, "voyage").otherwise("ollama"))
-    return embed.embed(given, ["item_id"]).withColumn("embedding", F.size("embedding"))
-
-
-@query()
-def ingested_documents(spark, sf):
-    d = documents(spark, sf).select("id", "text", F.col("error_message").alias("error"), "metadata", "file_path", F.lit("text/plain").alias("content_type"))
-    made, _ = ingest(d)
-    return made.groupBy("doc_id", "embedding_provider").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"))
-
-
 @query("SELECT page_id, CASE WHEN e = '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS content_type, CASE WHEN e = '' THEN '.bin' ELSE e END AS extension FROM (SELECT page_id, regexp_extract(regexp_extract(url, '([^/]*)/*$', 1), '[^.](\\.[^.]*)$', 1) AS e FROM pages)")
 def content_types(spark, sf):
     kind = urls.content_type(F.col("url"), F.lit(None).cast("string"))
@@ -424,34 +395,11 @@ def public_url(spark, sf):
     return load(spark, sf, "pages").select("page_id", urls.is_public(F.when(F.col("page_id") % 3 == 0, private).otherwise(F.col("url"))).alias("is_public"))
 
 
-@query("SELECT count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_refs FROM (SELECT page_id, len(regexp_extract_all(html, '<a href=\"/[^\"]')) AS n FROM pages)")
-def page_references(spark, sf):
-    p = load(spark, sf, "pages")
-    refs = p.select(F.size(F.regexp_extract_all("html", F.lit('<a href="(/[^"]+)'), F.lit(1))).alias("n"))
-    return refs.agg(F.count("*").alias("n_pages"), F.sum("n").cast("long").alias("n_refs"))
-
-
-@query()
-def page_links(spark, sf):
-    return web.links(load(spark, sf, "pages"))
-
-
 @query()
 def page_markdown(spark, sf):
     return web.pages_to_markdown(load(spark, sf, "pages"), ["page_id"])
 
 
-@query()
-def crawl(spark, sf):
-    """Breadth-first over pages of a host linked in order of their numbers."""
-    p = load(spark, sf, "pages").withColumn("host", urls.part(F.col("url"), 2))
-    from pyspark.sql import Window
-
-    ring = p.select(urls.normalised(F.col("url")).alias("src"), urls.normalised(F.lead("url").over(Window.partitionBy("host").orderBy("page_id"))).alias("dst")).filter("dst is not null").distinct()
-    start = p.orderBy("page_id").first()["url"]
-    return spark.createDataFrame(web.crawl(p, ring, start, most=5), "url string, depth int")
-
-
 # --- approaches ---
 
 _ROLES = "(SELECT conv_id AS query_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS approach, substr(string_agg(text, ' ' ORDER BY turn), 1, 360) AS summary FROM conversations GROUP BY ALL)"
@@ -478,16 +426,6 @@ def consensus_score(spark, sf):
     return r.select("source", "n", F.round(groups.consensus(F.col("n"), F.col("q"), F.col("s"), F.col("f")), 9).alias("consensus_score"))
 
 
-@query()
-def approaches(spark, sf):
-    """Clusters of each vector query's best results."""
-    e = load(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id")
-    found = batch(spark, sf, 15).join(e.select("chunk_id", "embedding"), "chunk_id").join(load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"), "chunk_id").withColumnRenamed("rank", "pos")
-    none = F.lit(None).cast("string")
-    full = found.withColumns({"title": F.col("source"), "url": none, "quality": F.lit("verified"), "verified": F.lit(AS_OF.date()), "published": F.lit(None).cast("date"), "topic": none, "method": none, "query": F.lit("q")})
-    return groups.approaches(groups.clustered(full), F.lit(AS_OF).cast("timestamp")).select("query_id", "approach", "topic", "summary", F.round("consensus_score", 6).alias("consensus_score"), F.size("sources").alias("n_sources"))
-
-
 # --- evaluation ---
 
 
@@ -544,3 +482,6 @@ def vector_norms(spark, sf):
 @query(f"{_FUSED} SELECT '{{\"chunk_id\":' || chunk_id || ',\"source\":\"' || source || '\"}}' AS json FROM r WHERE fused_rank <= 10")
 def results_as_json(spark, sf):
     return search.as_json(fused(spark, sf), ["chunk_id", "source"])
+
+
+from . import queries_ranking, queries_stores  # noqa: E402, F401  they register their queries

@@ -77,9 +77,9 @@ def markdown_text(text: str) -> str:
     return text
 
 
-def extract_one(kind: str | None, content: bytes) -> tuple[str, int | None]:
-    if kind in PARSERS:
-        return PARSERS[kind](content)
+def extract_one(kind: str | None, content: bytes, parsers: dict[str, Callable]) -> tuple[str, int | None]:
+    if kind in parsers:
+        return parsers[kind](content)
     if kind == "docx":
         return docx_text(content), None
     if kind in ("markdown", "text"):
@@ -100,12 +100,11 @@ def extract(files: DataFrame, carry: list[str]) -> DataFrame:
     parsers = dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        PARSERS.update(parsers)
         for b in batches:
             out = []
             for content, k in zip(b["content"], b["kind"], strict=True):
                 try:
-                    text, pages = extract_one(k, bytes(content))
+                    text, pages = extract_one(k, bytes(content), parsers)
                     out.append((text, pages, bytes(content).decode("utf-8", "replace") if k == "markdown" else text, None))
                 except Exception as e:
                     out.append((None, None, None, str(e)))
@@ -127,6 +126,15 @@ def storage_path(root: str, collection: str, doc: str, extension: str) -> str:
     return f"{root}/{collection}/{doc}{extension}"
 
 
+def store_documents(documents: DataFrame, root: str) -> None:
+    """documents (collection, doc, extension, content) as a table below root, a folder for each collection, with the path
+    that storage_path() gives; a row whose names could lead elsewhere fails the write."""
+    safe = F.col("collection").rlike(f"^(?:{SAFE_ID.pattern})$") & F.col("doc").rlike(f"^(?:{SAFE_ID.pattern})$") & F.col("extension").rlike(f"^(?:{SAFE_EXTENSION.pattern})$")
+    path = F.concat("collection", F.lit("/"), "doc", "extension")
+    checked = F.when(F.coalesce(safe, F.lit(False)), path).otherwise(F.raise_error(F.lit("unsafe collection, document or extension")))
+    documents.select("collection", "doc", checked.alias("path"), "content").write.mode("append").partitionBy("collection").parquet(root)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -144,8 +152,9 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """df as a table's next version, df itself being read from it: written beside it, then put in its place. A reader sees
-    the old or the new table; several tables don't change together."""
+    """df as a table's next version, df itself being read from it: written beside it, then put in its place by two renames. Between
+    them the name has no table: a reader may fail there, and a crash leaves the old version beside it under a name that
+    begins with the path. Several tables don't change together."""
     spark, side, old = df.sparkSession, f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(side)
     (fs, p), new = _fs(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(side)

@@ -141,7 +141,7 @@ def links(pages: DataFrame) -> DataFrame:
     return whole.select(urls.normalised(F.col("url")).alias("src"), urls.normalised(F.col("href")).alias("dst")).distinct()
 
 
-def crawl(pages: DataFrame, edges: DataFrame, start: str, most: int = MOST_PAGES, depth: int = 50) -> list[tuple[str, int]]:
+def crawl(pages: DataFrame, edges: DataFrame, start: str, most: int = MOST_PAGES) -> list[tuple[str, int]]:
     """(url, depth) of up to `most` pages in breadth-first order (within a depth by URL) from start over edges (src, dst).
     Pages that aren't stored are visited but don't count. What reaches the driver is bounded by `most`: the pages counted,
     and of each depth only as many new ones as still count."""
@@ -150,12 +150,10 @@ def crawl(pages: DataFrame, edges: DataFrame, start: str, most: int = MOST_PAGES
     (frontier,) = spark.range(1).select(urls.normalised(F.lit(start)).alias("url")).first()
     level = have.filter(F.col("url") == frontier).select("url").limit(1).collect()
     done = [(r["url"], 0) for r in level]
-    for d in range(1, depth + 1):
-        if not level or len(done) >= most:
-            break
+    while level and len(done) < most:
         known = spark.createDataFrame([(u,) for u, _ in done], "url string")
         now = F.broadcast(spark.createDataFrame([(r["url"],) for r in level], "src string"))  # at most `most` rows
         new = edges.join(now, "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(have, "url", "left_semi").join(F.broadcast(known), "url", "left_anti")
         level = new.orderBy("url").limit(most - len(done)).collect()
-        done += [(r["url"], d) for r in level]
+        done += [(r["url"], done[-1][1] + 1) for r in level]
     return done

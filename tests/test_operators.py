@@ -1,6 +1,8 @@
 import io
+import random
 import zipfile
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.functions import rules, text, urls, vectors
+from docloom.functions import metadata, rules, text, urls, vectors
 from docloom.operators import catalog, chunk, cost, embed, evaluate, rerank, search
 from docloom.operators import approaches as groups
 from docloom.plans.config import Config
@@ -265,6 +267,27 @@ def test_alerts(spark):
     assert states == ["warning", "limit_reached", None, None]
 
 
+def test_alerts_of_random_logs(spark):
+    """Against a plain walk over the log; requests lie so that an hour's first and last are not enough."""
+    rng = random.Random(3)
+    for budget in (5, 40):
+        log = sorted((datetime(2024, 1, 25) + timedelta(minutes=rng.randrange(60 * 24 * 12)), i, round(rng.random(), 4)) for i in range(400))
+        spent, last, want = {}, {}, []
+        for t, i, c in log:
+            spent[t.month] = round(spent.get(t.month, 0) + c, 4)
+            kind = "limit_reached" if spent[t.month] >= budget else "warning" if spent[t.month] > 0.8 * budget else None
+            if kind and (kind not in last or t - last[kind] >= timedelta(hours=24)):
+                last[kind] = t
+                want.append((kind, t, i, spent[t.month]))
+        df = spark.createDataFrame([(i, t, Decimal(str(c))) for t, i, c in log], "usage_id long, created_at timestamp, cost_usd decimal(10,4)")
+        assert sorted(map(tuple, cost.replay_alerts(df, budget).collect())) == sorted(want)
+        assert cost.replay_alerts(df.limit(0), budget).count() == 0
+    day = datetime(2024, 1, 1)
+    times = [day + timedelta(hours=10, minutes=30), day + timedelta(hours=34, minutes=5), day + timedelta(hours=34, minutes=40), day + timedelta(hours=34, minutes=55)]
+    df = spark.createDataFrame([(i + 1, t, 9.0) for i, t in enumerate(times)], "usage_id long, created_at timestamp, cost_usd double").withColumn("cost_usd", F.when(F.col("usage_id") == 1, 9.0).otherwise(0.0))
+    assert [(r.usage_id, r.triggered_at) for r in cost.replay_alerts(df, 10).orderBy("triggered_at").collect()] == [(1, times[0]), (3, times[2])]
+
+
 # --- evaluation ---
 
 
@@ -273,6 +296,8 @@ def test_evaluation(spark):
     assert {r.query_id: r.p_at_5 for r in evaluate.precision_at(ranked, 5).collect()} == {1: 0.5, 2: 1.0, 3: 0.0}
     assert evaluate.mean_reciprocal_rank(ranked).first().mrr == 0.5
     x = spark.createDataFrame([(float(i),) for i in range(1, 12)] + [(None,), (1.0,)], "v double")
+    parts = evaluate.topic_index(spark.createDataFrame([(i, ["a"] + ["b"] * (i % 2)) for i in range(50)], "id int, topics array<string>"), 4).collect()
+    assert {t: sorted(i for r in parts if r.topic == t for i in r.ids) for t in "ab"} == {"a": list(range(50)), "b": list(range(1, 50, 2))} and len(parts) > 2
     assert tuple(evaluate.lower_percentiles(x, "v").first()) == (5.0, 10.0, 10.0) and tuple(evaluate.lower_percentiles(x.limit(0), "v").first()) == (0, 0, 0)
 
 
@@ -296,12 +321,42 @@ def test_files(spark, tmp_path):
     assert found["a b"].text.strip() == "Head\n\nbold link" and found["a b"].word_count == 5
     assert found["c"].text == "plain text" and found["d"].text == "one\n\ntwo" and found["d"].word_count == 2
     assert found["e"].text is None and "pdf" in found["e"].error
+    files.PARSERS["pdf"] = lambda content: (f"{len(content)} bytes", 2)
+    try:
+        paged = {r.title: r for r in files.extract(files.read_files(spark, str(tmp_path), "*.pdf"), ["title"]).collect()}
+    finally:
+        del files.PARSERS["pdf"]
+    assert (paged["e"].text, paged["e"].page_count, paged["e"].word_count) == ("4 bytes", 2, 2)
     assert files.storage_path("/s", "c-1", "d1", ".md") == "/s/c-1/d1.md"
     with pytest.raises(ValueError):
         files.storage_path("/s", "../c", "d", ".md")
     assert not files.delete_file(spark, str(tmp_path / "none"))
 
 
+def test_stored_documents_and_databases(spark, tmp_path):
+    row = lambda *r: spark.createDataFrame([r], "collection string, doc string, extension string, content binary")
+    files.store_documents(row("c-1", "d1", ".md", b"text"), f"{tmp_path}/files")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/files").select("path", "doc").collect()] == [("c-1/d1.md", "d1")]
+    for bad in (("../c", "d", ".md"), ("c", "d/e", ".md"), ("c", "d", "md"), (None, "d", ".md")):
+        with pytest.raises(Exception, match="unsafe"):
+            files.store_documents(row(*bad, b""), f"{tmp_path}/files")
+    url = "jdbc:derby:memory:docloom;create=true"
+    spark.range(5).withColumnRenamed("id", "n").write.jdbc(url, "numbers", "overwrite", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = files.read_jdbc(spark, url, "SELECT * FROM numbers", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert sorted(r[0] for r in got.filter("n > 2").collect()) == [3, 4]
+
+
+def test_typed_metadata(spark):
+    rows = ['{"page": 3, "heading": "h"}', '{"page": "iv", "section": "s"}', '{"page": [1], "heading": 5, "section": "s"}', '{"page": true, "heading": null, "section": "s"}', "no json", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, metadata string").withColumn("similarity", F.lit(0.5))
+    got = [(r.citation_page, r.citation_section) for r in search.cited(df).orderBy("i").collect()]
+    assert got == [("3", "h"), ("iv", "s"), (None, None), (None, "s"), (None, None), (None, None)]
+    kinds = [r[0] for r in df.orderBy("i").select(metadata.json_type(F.col("metadata"), "page")).collect()]
+    assert kinds == ["number", "string", "array", "boolean", None, None]
+    merged = spark.createDataFrame([('{"a": 1, "b": "x"}', '{"b": "y"}')], "l string, r string").select(metadata.json_merged(F.col("l"), F.col("r"))).first()[0]
+    assert merged == {"a": "1", "b": "y"}
+
+
 def test_replace_and_store(spark, tmp_path):
     path = f"{tmp_path}/t"
     files.append(spark.range(3), path)
@@ -323,6 +378,9 @@ def test_web(spark):
     edges = web.links(pages)
     assert sorted(map(tuple, edges.collect())) == [("http://a.com/", "http://a.com/b"), ("http://a.com/", "http://a.com/c"), ("http://a.com/b", "http://a.com/d"), ("http://a.com/c", "http://a.com/missing")]
     assert web.crawl(pages, edges, "http://a.com/#top") == [("http://a.com/", 0), ("http://a.com/b", 1), ("http://a.com/c", 1), ("http://a.com/d", 2)]
+    chain = spark.createDataFrame([(f"http://c.com/{i:03d}", "") for i in range(60)], "url string, html string")
+    steps = spark.createDataFrame([(f"http://c.com/{i:03d}", f"http://c.com/{i + 1:03d}") for i in range(59)], "src string, dst string")
+    assert web.crawl(chain, steps, "http://c.com/000", most=55)[-1] == ("http://c.com/054", 54)  # a chain of any length
     assert len(web.crawl(pages, edges, "http://a.com/", most=2)) == 2 and web.crawl(pages, edges, "http://z.com/") == []
 
 
