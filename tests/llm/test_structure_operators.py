@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,15 +70,15 @@ def test_dedup_dense_repeats(spark):
 
 
 def brute_topk(rows, k=20):
-    ints = {}
+    """Every row with an id divisible by 20 asks, all rows but itself answer."""
+    ints = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            ints[i] = min(ints.get(i, w), w)
+            ints.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
     out = []
-    for q, v in ints.items():
+    for at, (q, v) in enumerate(ints):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints.items() if i != q)[:k]  # noqa: B905
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(ints) if other != at)[:k]  # noqa: B905
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -90,10 +91,31 @@ def test_topk_odd(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(90)] + [(0, [9.0] * 5), (None, [1.0] * 5), (200, None), (201, [None, 1.0]), (202, [float("nan")] * 5)]
     rows += [(203, [float("inf")] * 5), (204, []), (220, [1.0, -1.0]), (41, rng.normal(size=5).tolist())]
+    rows += [rows[40]] * 2 + [rows[7]] * 30 + [(60, rows[61][1])]  # rows that repeat, and an id with several vectors
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int")
     assert topk_rows(df) == brute_topk(rows)
-    assert topk_rows(df, query_block=2, candidate_block=7) == brute_topk(rows)
-    assert topk_rows(df.limit(0)) == [] and topk_rows(df.filter("vec_id = 20")) == []
+    assert topk_rows(df, query_block=2, candidate_block=7, sample=25) == brute_topk(rows)
+    assert topk_rows(df.limit(0)) == [] and topk_rows(df.filter("vec_id = 80")) == []
+
+
+def test_scores_that_do_not_fit_raise():
+    big = np.full((1, 4), 1 << 31, np.int64)
+    with pytest.raises(OverflowError):
+        topk.search(np.array([0]), big, np.array([1]), big, 20)
+
+
+def test_bounds_drop_pairs_of_the_given_vectors():
+    """How far bounds reach on vectors that point everywhere: a share of pairs is still summed in each block."""
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    v, ids = np.floor(64 * np.array(t["embedding"].to_pylist())).astype(np.int64), np.array(t["vec_id"].to_pylist())
+    queries = np.flatnonzero(ids % 20 == 0)
+    r, s, score = topk.search(ids[queries], v[queries], ids, v, 20)
+    least = np.array([score[r == i].min() for i in range(len(queries))])
+    summed: dict = {}
+    again = topk.search(ids[queries], v[queries], ids, v, 20, least, dropped=summed)
+    assert all((a == b).all() for a, b in zip(again, (r, s, score), strict=True))
+    share = [float(np.mean(x)) for _, x in sorted(summed.items())]
+    assert share[0] == 1 and share[-1] < 0.25 and sorted(share, reverse=True) == share
 
 
 def test_topk_clusters(spark, monkeypatch):
