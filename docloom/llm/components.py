@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .common import forget, kept
 
 
+ROWS = 500_000  # links in a part of a written round, about
+
+
 class Rounds:
-    """Written tables of which a new one takes an old one's place. Both sides of each join are written, so the join can split
-    a node that many links have, such as the centre of a star."""
+    """Written tables of which a new one takes an old one's place, in as many parts as `links` of them ask for. Both sides of
+    each join are written, so the join can split a node that many links have, such as the centre of a star."""
 
-    def __init__(self, spark):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark, links: int | None = None):
+        self.spark, self.links, self.paths = spark, links, {}
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        made, path = kept(df, name)
+        made, path = kept(df if self.links is None else df.coalesce(-(-self.links // ROWS) or 1), name)
         self.drop(name)
         self.paths[name] = path
         return made
@@ -51,6 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     down = edges.filter("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     now = rounds.put("links", down)
     was = _state(now)
+    rounds.links = was[0]
     while was[0]:
         now = rounds.put("links", _small_star(rounds.put("large", _large_star(now, rounds)), rounds))
         if (new := _state(now)) == was:

@@ -73,12 +73,12 @@ def parts_of(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
 
 
 def forest(fps: np.ndarray, distance: int, large: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what all links of at most distance between fps connect; not more than distance + 1 for each of
-    fps, or each again of a large part of them."""
+    """Links that connect what all links of at most distance between fps connect; not more than one for each of fps, or
+    distance + 1 where they are parted first."""
     large = LARGE if large is None else large
     src, dst, rest = [fps[:0]], [fps[:0]], fps
     if len(fps) > large:
-        found = [forest(x, distance, large if len(x) < len(fps) else len(x)) for x in parts_of(fps, distance)]
+        found = [forest(x, distance, len(x)) for x in parts_of(fps, distance)]  # parted once: parts of linked ones overlap
         return tuple(np.concatenate([fps[:0], *x]) for x in zip(*found, strict=True)) if found else (fps[:0], fps[:0])
     while len(rest):
         frontier, rest = [rest[:1]], rest[1:]
