@@ -35,7 +35,7 @@ from .common import carried, carried_columns, carried_fields, covered, table, te
 WINDOW, GRAM, MAX = 13, 6, (1 << 63) - 1
 OURS = ("n_words", "n_removed", "kept_words", "kept_text")
 #: Bytes of text in a batch, and for each shard; phrases in an automaton.
-BATCH_BYTES, SHARD_BYTES, AUTOMATON = 6 << 20, 16 << 20, 100_000
+BATCH_BYTES, SHARD_BYTES, AUTOMATON = 8 << 20, 16 << 20, 100_000
 
 
 def window_anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
