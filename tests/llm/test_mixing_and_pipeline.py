@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import bpe, mixing, quality
+from docloom.llm import bpe, mixing
 
 from .conftest import ODD
+from .test_near_copies import brute_copies
+from .test_quality_cutoffs import brute_kept
 from .test_structure_operators import WORD, brute_dedup
-from .test_text_operators import brute_components, brute_fingerprint, brute_measures, tik  # noqa: F401
+from .test_text_operators import tik  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,12 +94,10 @@ def test_pipeline_against_plain_python(spark, tables, tik, tmp_path):  # noqa: F
     spark.createDataFrame(docs, tables[0].schema).write.parquet(f"{tmp_path}/documents.parquet")
     shutil.copy(f"{SF}/labels.parquet", f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    stats = [(d, brute_measures(d[1])) for d in docs]
-    kept = [d for d, m in stats if not (m[0] < 10 or 100 * m[4] > 20 * m[0])]
-    n_good = tables[1].filter("quality = 1").count()
-    assert quality.binomial_tail(0, n_good, 0.05 / len(quality.RULES)) > 0.05 / len(quality.RULES) / len(quality.CUTOFFS)  # too few labels for cutoffs
-    first = brute_components([(d[0], brute_fingerprint(d[1])) for d in kept])
-    kept = [d for d, c in zip(kept, first, strict=True) if d[0] == c]
+    verdicts, _ = brute_kept([(d[0], d[1], d[2]) for d in docs], [(r.doc_id, r.quality) for r in tables[1].collect()])
+    kept = [d for d, k in zip(docs, verdicts, strict=True) if k]
+    first = dict(brute_copies([(d[0], d[1]) for d in kept]))
+    kept = [d for d in kept if first[d[0]] == d[0]]
     dedup = {i: (n, gone, digest) for i, n, gone, digest in brute_dedup([(d[0], d[1]) for d in kept])}
     left = {d[0] for d in kept if dedup[d[0]][1] < dedup[d[0]][0]}
     assert set(got) <= left and 10_000 not in got and 10_001 not in got and len(got) > 0.6 * len(left)
@@ -117,3 +117,35 @@ def test_stages_return_the_columns_of_documents(spark, odd, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, given, str(tmp_path)).schema.simpleString() == docs.schema.simpleString()
         assert corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).count() == given.count()
+
+
+def test_quality_stage_rejects_by_certified_cutoffs(spark):
+    """At sf0.01 a cutoff is certified, and the stage's rows are those of plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    given = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    want, cutoffs = brute_kept(given, [(r.doc_id, r.quality) for r in labels.collect()])
+    assert cutoffs and {r.doc_id for r in corpus_pipeline.drop_poor(spark, docs, sf).collect()} == {i for (i, _, _), k in zip(given, want, strict=True) if k}
+
+
+def test_learning_of_memberships_is_that_of_numpy():
+    """Softmax weights against the same descent over a dense table."""
+    rng = np.random.default_rng(9)
+    n, words = 120, 15
+    x = [np.flatnonzero(rng.random(words) < 0.3) for _ in range(n)]
+    extra, y = np.c_[np.ones(n), rng.random((n, 2))], rng.integers(0, 2, n)
+    got = mixing.fit_softmax(x, extra, y, words, rounds=50)
+    dense = np.zeros((n, words))
+    for i, v in enumerate(x):
+        dense[i, v] = 1
+    full, k = np.c_[dense, extra], len(mixing.DOMAINS)
+    w, move, truth = np.zeros((full.shape[1], k)), 0.0, np.eye(k)[y]
+    absent = truth.sum(axis=0) == 0
+    w[words] = np.where(absent, -30.0, 0)
+    for _ in range(50):
+        p = np.exp(full @ w - (full @ w).max(axis=1, keepdims=True))
+        g = full.T @ (p / p.sum(axis=1, keepdims=True) - truth) / n + 1e-4 * w
+        g[:, absent] = 0
+        move = 0.9 * move - 2.0 * g
+        w = w + move
+    assert got == pytest.approx(w, abs=1e-9)

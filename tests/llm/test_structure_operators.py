@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -163,6 +164,17 @@ def test_language(odd, docs, sample):
     assert language.learn_profiles(odd.limit(0)) == {}
 
 
+def test_profiles_are_those_of_plain_counts(docs, sample):
+    """All documents are within the sample here, so profiles follow from counting alone."""
+    count = {}
+    for _, t, g in sample:
+        own = count.setdefault(g, Counter())
+        for w in language.words_of(t):
+            own.update(language.grams(w))
+    want = {g: sorted(c, key=lambda x, c=c: (-c[x], x))[: language.TOP] for g, c in count.items()}
+    assert language.learn_profiles(docs) == want
+
+
 # --- license scans ---
 
 
