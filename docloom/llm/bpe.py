@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, carried, carried_columns, carried_fields, rows, shared_dir, stored, table, text_bytes, texts_of, with_text
+from .common import bounded, carried, carried_columns, carried_fields, documents, rows, shared_dir, stored, text_bytes, texts_of, with_text
 
 #: White space as the tokenizers' pattern sees it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -296,7 +296,7 @@ RANKS, TOKENIZER, LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 10
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return encode(docs, P.path(RANKS), P.PATTERN, ["doc_id"], ids=False, digests=True)
 
 
@@ -306,5 +306,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     cache = f"{shared_dir(spark)}/docloom/token-counts-{uuid.uuid4().hex}"  # a new cache: every count is made here
-    found = count_tokens(table(spark, sf_dir, "documents"), P.path(TOKENIZER), cache, ["doc_id"])
+    found = count_tokens(documents(spark, sf_dir), P.path(TOKENIZER), cache, ["doc_id"])
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

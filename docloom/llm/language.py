@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, carried, carried_columns, carried_fields, rows, table, with_text
+from .common import bounded, carried, carried_columns, carried_fields, documents, rows, with_text
 
 #: Grams of 1 to LONGEST characters of each word between two marks; a profile has the TOP most frequent.
 LONGEST, TOP = 3, 300
@@ -166,7 +166,7 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     profiles = learn_profiles(docs.filter(fold() != 2))
     found = identify(docs, profiles, ["doc_id"])
     return found.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

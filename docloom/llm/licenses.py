@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import carried, carried_columns, carried_fields, rows, table, texts_of, with_text
+from .common import carried, carried_columns, carried_fields, documents, rows, texts_of, with_text
 
 COVERAGE = 0.8
 
@@ -227,4 +227,4 @@ def license_scan(docs: DataFrame, carry: list[str], templates: dict[str, str] |
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return license_scan(documents(spark, sf_dir), ["doc_id"])

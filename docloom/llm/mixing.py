@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, carried_columns, carried_fields, rows, stored, table, text_bytes, texts_of, with_text
+from .common import carried, carried_columns, carried_fields, documents, rows, stored, table, text_bytes, texts_of, with_text
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the mixture's tokens.
@@ -213,4 +213,4 @@ def mix(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, targ
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return mix(documents(spark, sf_dir), table(spark, sf_dir, "labels"), ["doc_id"])

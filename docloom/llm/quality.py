@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, carried_columns, carried_fields, covered, rows, stored, table, text_bytes, texts_of, window_hashes, with_text, word_hashes
+from .common import carried, carried_columns, carried_fields, covered, documents, rows, stored, table, text_bytes, texts_of, window_hashes, with_text, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 SYMBOLS = b"#*$%&|<>"
@@ -181,5 +181,33 @@ def quality_rules(docs: DataFrame, labels: DataFrame, by: str = "lang", alpha: f
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    found = quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_SPLIT = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_VALUES = {r: f"({a}::DOUBLE / greatest({b}, 1))" for r, (a, b) in RULES.items()}
+_STEPS = ", ".join(f"({i}, '{rule}', {cut}::DOUBLE)" for i, (rule, cut) in enumerate(PATH))
+SQL = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_SPLIT.format("coalesce(text, '')")} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+win AS (SELECT doc_id, i, w || ' ' || {" || ' ' || ".join(f"lead(w, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, REPEAT_WINDOW))} AS five FROM words),
+five AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM win WHERE five IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {REPEAT_WINDOW})) AS j FROM five WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT t.doc_id, stratum, text, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, CAST((length(text) - length(replace(text, '!!', ''))) / 2 AS BIGINT) AS n_shouts
+  FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id),
+f AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"{v} AS v_{r}" for r, v in _VALUES.items())} FROM m),
+known AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+once AS MATERIALIZED (SELECT stratum, text, bool_and(good) AS good, {", ".join(f"max(v_{r}) AS v_{r}" for r in RULES)} FROM f JOIN known ON known.doc_id = f.doc_id WHERE NOT base_failed GROUP BY stratum, text),
+steps(step, rule, cut) AS (VALUES {_STEPS}),
+own AS (SELECT stratum, text, good, step, rule, cut, CASE rule {" ".join(f"WHEN '{r}' THEN v_{r}" for r in RULES)} END > cut AS hit FROM once, steps),
+so_far AS (SELECT *, bool_or(hit) OVER (PARTITION BY stratum, text ORDER BY step) AS any_hit FROM own),
+c AS (SELECT stratum, step, rule, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND any_hit) AS lost, count(*) FILTER (good AND hit) AS good_hit, count(*) FILTER (NOT good AND hit) AS bad_hit FROM so_far GROUP BY ALL),
+p AS (SELECT *, CASE WHEN lost >= n THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.05) + (n - k) * ln(0.95)))) END AS tail, (SELECT count(DISTINCT stratum) FROM c) AS strata FROM c),
+walk AS (SELECT *, bool_and(tail <= 0.05 / strata) OVER (PARTITION BY stratum ORDER BY step) AS certified FROM p),
+able AS (SELECT *, max(bad_hit) OVER (PARTITION BY stratum, rule) AS most FROM walk WHERE certified AND bad_hit > good_hit),
+chosen AS (SELECT stratum, rule, arg_min(cut, step) AS cut FROM able WHERE bad_hit >= {NEAR} * most GROUP BY stratum, rule),
+bad AS (SELECT DISTINCT f.doc_id FROM f JOIN chosen ON chosen.stratum = f.stratum WHERE CASE rule {" ".join(f"WHEN '{r}' THEN v_{r}" for r in RULES)} END > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""

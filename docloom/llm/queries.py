@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": topk.SQL}
+    return {"op3_exact_topk": topk.SQL, "op5_substring_dedup": substrings.SQL, "op6_quality_rules": quality.SQL}

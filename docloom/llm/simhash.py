@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows, stored, table, texts_of, with_text
+from .common import documents, rows, stored, texts_of, with_text
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -156,5 +156,5 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -301,3 +301,15 @@ def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: in
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"], give=("n_words", "n_removed", "kept_words"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW}),
+win AS (SELECT i.doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS t FROM i JOIN w ON w.doc_id = i.doc_id),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN js IS NULL THEN array_to_string(ws, ' ') ELSE coalesce((SELECT string_agg(ws[k], ' ' ORDER BY k) FROM (SELECT unnest(range(1, len(ws) + 1)) AS k) WHERE NOT list_contains(js, k)), '') END) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
+"""
