@@ -214,7 +214,7 @@ def order_of(page_id: int | None, url: str | None, digest: int) -> tuple:
 
 
 #: Bytes of html that make one part of the sorted pages; keys for each part that a sample brings to the driver.
-PART_BYTES, KEYS = 4 << 20, 32
+PART_BYTES, KEYS = 1 << 20, 32
 
 def bounds_of(pages: DataFrame, part_bytes: int) -> list[tuple]:
     """Where parts of the sorted pages begin, from a sample that hashes choose."""
