@@ -131,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             got = [reader.features(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["domain", "words", "extra"])
 
-    got = given.mapInArrow(read, "domain string, words binary, extra array<double>").orderBy("domain", "words", "extra").collect()
+    got = given.mapInArrow(read, "domain string, words binary, extra array<double>").collect()
+    got.sort(key=lambda r: (r["domain"], bytes(r["words"]), r["extra"]))  # the sample's rows, in an order of their own
     x = [np.frombuffer(bytes(r["words"]), "<i4").astype(np.int64) for r in got]
     weights = fit_softmax(x, np.array([r["extra"] for r in got]), np.array([DOMAINS.index(r["domain"]) for r in got]), len(words))
     return Classifier(words, weights)
