@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ LONGEST, TOP = 3, 300
 #: At most about so many documents of a language, chosen by a hash of doc_id, make its profile.
 SAMPLE = 5000
 UNKNOWN = "und"
+WORDS_HELD = 100_000  # distinct words that a task of learn_profiles() counts before it tells their grams
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -28,55 +28,41 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
 
 
-class GramCounter:
-    """Counts of grams of texts, by numbers given to grams as they come; `first` have the first numbers. Words' grams are
-    remembered, up to BOUND words or grams."""
-
-    BOUND = 100_000
-
-    def __init__(self, first: list[str] = ()):
-        self.first = list(first)
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.ties = np.zeros(1024, np.uint64)  # what orders grams of equal counts
-        self.words: dict[str, np.ndarray] = {}
-        for g in self.first:
-            self.number(g)
-
-    def number(self, gram: str) -> int:
-        if (known := self.ids.get(gram)) is not None:
-            return known
-        n = self.ids[gram] = len(self.ids)
-        if n == len(self.ties):
-            self.ties = np.concatenate([self.ties, np.zeros(n, np.uint64)])
-        self.ties[n] = xxhash.xxh64_intdigest(gram)
-        return n
-
-    def of(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            known = self.words[word] = np.array([self.number(g) for g in grams(word)], np.int64)
-        return known
-
-    def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the grams that words have, and how often; each distinct word is looked up once."""
-        if len(self.words) > self.BOUND or len(self.ids) > self.BOUND:
-            self.reset()
-        times = Counter(words)
-        own = [self.of(w) for w in times]
-        ids, weights = np.concatenate(own), np.repeat(np.fromiter(times.values(), np.int64, len(times)), np.fromiter(map(len, own), np.int64, len(own)))
-        found, at = np.unique(ids, return_inverse=True)
-        return found, np.bincount(at, weights).astype(np.int64)
-
-    def top(self, words: list[str], most: int = TOP) -> np.ndarray:
-        """Numbers of the most frequent grams, most frequent first, ties in an order that depends on the gram alone."""
-        some, counts = self.count(words)
-        if len(some) > most:
-            enough = counts >= np.partition(counts, len(counts) - most)[len(counts) - most]
-            some, counts = some[enough], counts[enough]
-        return some[np.lexsort((self.ties[some], -counts))][:most]
+#: A gram as a number: 21 bits for each of its code points. Words whose grams are held at once; what orders equal counts.
+BITS, PIECE, TIES = np.uint64(21), 20_000, np.uint64(0x9E3779B97F4A7C15)
+
+
+def key_of(gram: str) -> int:
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
+def gram_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the grams() of all words, and how often each is found: runs of up to LONGEST characters of the words
+    with a mark before, between and after them, but not those with a mark alone or in the middle."""
+    parts = []
+    for at in range(0, len(words), PIECE):
+        text = "_" + "_".join(words[at : at + PIECE]) + "_"
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        mark = c == ord("_")
+        two = (c[:-1] << BITS) | c[1:]
+        three = (two[:-1] << BITS) | c[2:]
+        parts.append(np.unique(np.concatenate([c[~mark], two, three[~mark[1:-1]]]), return_counts=True))
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def top_grams(words: list[str], most: int = TOP) -> np.ndarray:
+    """Keys of the most frequent grams, most frequent first, ties in an order that depends on the gram alone."""
+    keys, counts = gram_counts(words)
+    if len(keys) > most:
+        enough = counts >= np.partition(counts, len(counts) - most)[len(counts) - most]
+        keys, counts = keys[enough], counts[enough]
+    return keys[np.lexsort((keys * TIES, -counts))][:most]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -110,7 +96,7 @@ def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) ->
         for b in rows(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, words.values())) > GramCounter.BOUND:
+            if sum(map(len, words.values())) > WORDS_HELD:
                 yield from told()
         yield from told()
 
@@ -127,19 +113,20 @@ class Profiles:
 
     def __init__(self, profiles: dict[str, list[str]], top: int = TOP):
         self.langs, self.top = sorted(profiles), top
-        self.counter = GramCounter(sorted({g for p in profiles.values() for g in p}))
-        self.ranks = np.full((len(self.langs), len(self.counter.first) + 1), -1, np.int64)  # the last column: in no profile
+        self.keys = np.array(sorted({key_of(g) for p in profiles.values() for g in p}), np.uint64)
+        self.ranks = np.full((len(self.langs), len(self.keys) + 1), -1, np.int64)  # the last column: in no profile
         for i, lang in enumerate(self.langs):
-            for rank, g in enumerate(profiles[lang]):
-                self.ranks[i, self.counter.ids[g]] = rank
+            self.ranks[i, np.searchsorted(self.keys, np.array([key_of(g) for g in profiles[lang]], np.uint64))] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language (ties: the first by name) and 1 - distance / the largest distance possible."""
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        own = self.counter.top(words, self.top)
-        theirs = self.ranks[:, np.minimum(own, self.ranks.shape[1] - 1)]
+        own = top_grams(words, self.top)
+        at = np.searchsorted(self.keys, own)
+        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != own)] = len(self.keys)
+        theirs = self.ranks[:, at]
         apart = np.where(theirs < 0, self.top, np.abs(theirs - np.arange(len(own)))).sum(axis=1)
         best = int(apart.argmin())
         return self.langs[best], 1.0 - float(apart[best]) / (self.top * len(own))

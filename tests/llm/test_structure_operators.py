@@ -146,7 +146,7 @@ def brute_language(text, profiles):
     for w in words:
         for g in language.grams(w):
             count[g] = count.get(g, 0) + 1
-    own = sorted(count, key=lambda g: (-count[g], language.xxhash.xxh64_intdigest(g)))[: language.TOP]
+    own = sorted(count, key=lambda g: (-count[g], language.key_of(g) * int(language.TIES) % (1 << 64)))[: language.TOP]
     far = {k: sum(abs(p.index(g) - i) if g in p else language.TOP for i, g in enumerate(own)) for k, p in profiles.items()}
     return min(sorted(far), key=far.get)
 
@@ -164,6 +164,16 @@ def test_language(odd, docs, sample):
     assert language.learn_profiles(odd.limit(0)) == {}
 
 
+def test_grams_of_long_texts_and_odd_words(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("aéßあ𝒳", k=rng.choice((1, 2, 3, 9)))) for _ in range(500)]
+    count = Counter(g for w in words for g in language.grams(w))
+    for piece in (20_000, 7, 1):
+        monkeypatch.setattr(language, "PIECE", piece)
+        keys, n = language.gram_counts(words)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {language.key_of(g): k for g, k in count.items()}
+
+
 def test_profiles_are_those_of_plain_counts(docs, sample):
     """All documents are within the sample here, so profiles follow from counting alone."""
     count = {}
