@@ -46,10 +46,23 @@ def number(score) -> float:
     return value if value == value and abs(value) != float("inf") else 0.0
 
 
+def by_position(found: list, n: int) -> list[float | None]:
+    """Scores of n candidates as a scorer gives them: one for each, in order, or entries with an index; candidates that no
+    entry names have none."""
+    if not any(isinstance(f, dict) and "index" in f for f in found):
+        return [number(f) for f in found]
+    out: list[float | None] = [None] * n
+    for f in found:
+        if isinstance(f, dict) and type(f.get("index")) is int and 0 <= f["index"] < n:
+            out[f["index"]] = number(f.get("score", f.get("relevance_score", 0)))
+    return out
+
+
 def rerank(candidates: DataFrame, provider: str, top: int = DEFAULT_OUT, cap: int = MOST) -> DataFrame:
     """candidates (query_id, pos, query, text, similarity) with rerank_score, rerank_provider, original_similarity and
     rerank_rank; similarity becomes the rerank score. pos is the place before reranking and breaks ties. A scorer that fails
-    hands over to the local one, and that to passing the similarities through; none does so at once."""
+    hands over to the local one, and that to passing the similarities through; none does so at once. A scorer that names
+    candidates by index drops those it doesn't name."""
     given = candidates.filter(F.col("pos") <= cap)
     chain = [p for p in dict.fromkeys((provider, "bge")) if provider != "none" and p in REGISTRY]
     scorers = [(p, REGISTRY[p]) for p in chain]
@@ -62,12 +75,13 @@ def rerank(candidates: DataFrame, provider: str, top: int = DEFAULT_OUT, cap: in
             for name, make in scorers:
                 try:
                     run = ready.setdefault(name, make())
-                    scores = [number(s) for at in range(0, len(pairs), BATCH) for s in run(pairs[at : at + BATCH])]
+                    scores = [s for at in range(0, len(pairs), BATCH) for s in by_position(run(pairs[at : at + BATCH]), len(pairs[at : at + BATCH]))]
                     used = name
                     break
                 except Exception:
                     ready.pop(name, None)
-            yield b.assign(rerank_score=b["similarity"] if scores is None else scores, rerank_provider=used)
+            scored = b.assign(rerank_score=b["similarity"] if scores is None else pd.Series(scores, b.index, "float64"), rerank_provider=used)
+            yield scored[scored["rerank_score"].notna()] if scores is not None else scored
 
     scored = given.mapInPandas(score, schema) if scorers else given.withColumns({"rerank_score": F.col("similarity"), "rerank_provider": F.lit("none")})
     order = [F.desc("rerank_score"), "pos"] if scorers else ["pos"]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import catalog, cost
+from ..operators import catalog, cost, search
 from ..sources import files
+from . import requests
 from . import search as search_plan
 from .config import Config
 from .ingest import document_metadata, ingest
@@ -105,6 +108,28 @@ class Library:
     def search_rag(self, query: str, collection: str | None = None, **more) -> DataFrame:
         return search_plan.search_rag(self.table("chunks"), self.table("documents"), query, collection, config=self.config, **more)
 
+    def search(self, body: dict) -> DataFrame:
+        """A search request as it comes from outside."""
+        r = requests.search_request(body)
+        config = replace(self.config, max_candidates=r.get("rerank_max_candidates", self.config.max_candidates), reranker_override=r.get("rerank_provider", self.config.reranker_override))
+        return search_plan.search_rag(
+            self.table("chunks"), self.table("documents"), r["query"], r["collection_id"], r.get("top_k"), r.get("min_similarity", search.MIN_SIMILARITY), r.get("search_mode"), r.get("rerank", False), r.get("rerank_top_k"), config=config
+        )
+
+    def compare(self, body: dict, make_judge: Callable | None = None) -> dict[str, DataFrame]:
+        """Approaches, conflicts and a recommendation among the reranked results of a request."""
+        r = requests.compare_request(body)
+        config = replace(self.config, reranker_override=r.get("rerank_provider", self.config.reranker_override))
+        top = r.get("top_k")
+        found = search_plan.search_rag(self.table("chunks"), self.table("documents"), r["query"], r["collection_id"], top, mode="hybrid", reranking=True, rerank_top=top, config=config)
+        value = lambda k: F.try_element_at("doc_metadata", F.lit(k))
+        day = lambda k: F.try_to_timestamp(value(k)).cast("date").alias(k.removeprefix("last_").removesuffix("_date"))
+        given = found.select(
+            F.lit(0).cast("long").alias("query_id"), F.col("rank").alias("pos"), "text", F.col("doc_title").alias("title"), F.col("source_url").alias("url"), value("source_quality").alias("quality"), day("last_verified"), day("published_date"),
+            value("topic").alias("topic"), F.coalesce(value("approach"), value("method")).alias("method"),
+        )
+        return search_plan.compare(search_plan.snippet_vectors(given, config.docs_provider), r["query"], self._now(), config, make_judge, *([] if top is None else [top]))
+
     # cost
 
     def track(self, provider: str, operation: str, tokens: int, model: str | None = None, collection: str | None = None) -> None:

@@ -17,16 +17,17 @@ from ..plans.ingest import ingest
 from ..sources.files import store_chunks
 
 
-def ingest_stream(documents: DataFrame, chunks_path: str, checkpoint: str, config: Config | None = None, once: bool = True) -> StreamingQuery:
+def ingest_stream(documents: DataFrame, chunks_path: str, checkpoint: str, config: Config | None = None, every: str | None = None) -> StreamingQuery:
     """Chunks of a stream of documents (id, text, error, metadata, file_path, content_type). A batch that is run again
-    writes the same rows: chunks replace those of their documents."""
+    writes the same rows: chunks replace those of their documents. Takes what is there and ends, or looks again after each
+    interval of `every` ("30 seconds")."""
 
     def write(batch: DataFrame, _: int) -> None:
         made, _outcomes = ingest(batch.dropDuplicates(["id"]), config)
         store_chunks(made, chunks_path)
 
     writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
 def usage_windows(usage: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import metadata, rules, text, urls, vectors
 from docloom.operators import catalog, chunk, cost, embed, evaluate, rerank, search
 from docloom.operators import approaches as groups
+from docloom.plans import requests
 from docloom.plans.config import Config
 from docloom.plans.ingest import context_of, document_metadata, ingest, status_log
 from docloom.plans.search import compare, resolve_mode, snippet_vectors
@@ -189,6 +190,13 @@ def test_rerank(spark, monkeypatch):
     assert [rerank.number(x) for x in (None, "x", float("nan"), [], [2], {"score": "3"})] == [0, 0, 0, 0, 2, 3]
 
 
+def test_rerank_by_index(spark, monkeypatch):
+    monkeypatch.setattr(rerank, "REGISTRY", {})
+    rerank.register("bge", lambda: lambda pairs: [{"index": 2, "relevance_score": 0.9}, {"index": 0}, {"index": 7, "score": 1}, {"index": None, "score": 1}])
+    rows = rerank.rerank(candidates(spark).coalesce(1), "bge").orderBy("rerank_rank").collect()
+    assert [(r.text, r.rerank_score) for r in rows] == [("Doc C", 0.9), ("Doc A", 0.0)]  # the one without an entry goes
+
+
 # --- catalogue ---
 
 
@@ -460,6 +468,25 @@ def test_tools(spark, tmp_path):
     assert Config.from_env({"ENABLE_COMPARISON": "true", "HYBRID_VECTOR_WEIGHT": "0.5", "MONTHLY_BUDGET_USD": "x"}) == Config(comparison=True, vector_weight=0.5, budget=None)
 
 
+def test_requests(spark, tmp_path):
+    c = "123e4567-e89b-12d3-a456-426614174000"
+    assert requests.search_request({"query": "q", "collection_id": c, "topK": 7, "top_k": 3, "minSimilarity": 0.2}) == {"query": "q", "collection_id": c, "top_k": 7, "min_similarity": 0.2}
+    bad = ({"query": ""}, {"top_k": 0}, {"topK": 51}, {"top_k": 1.5}, {"top_k": True}, {"min_similarity": 1.1}, {"search_mode": "x"}, {"rerank": 1}, {"rerankProvider": "y"}, {"collectionId": "z"}, {"other": 1})
+    for more in bad:
+        with pytest.raises(ValueError, match=next(iter(more))):
+            requests.search_request({"query": "q", "collection_id": c} | more)
+    with pytest.raises(ValueError, match="collection_id: required"):
+        requests.search_request({"query": "q"})
+    with pytest.raises(ValueError, match="topK: unknown"):
+        requests.compare_request({"query": "q", "collection_id": c, "topK": 3})
+    lib = Library(spark, str(tmp_path), Config(as_of=NOW, comparison=True))
+    c = lib.create_collection("Guides")
+    lib.add_document(c, "Auth", "Authentication with magic links. " * 40, metadata={"approach": "links by mail"})
+    assert lib.search({"query": "authentication links", "collectionId": c, "min_similarity": 0, "topK": 2}).first().doc_title == "Auth"
+    out = lib.compare({"query": "authentication links", "collection_id": c, "top_k": 4})
+    assert out["approaches"].first().method == "links by mail" and out["recommended"].count() == 1 and out["conflicts"].count() == 0
+
+
 # --- streams ---
 
 
