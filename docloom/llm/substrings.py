@@ -258,7 +258,8 @@ def dedup_substrings(docs: DataFrame, carry: list[str] | None = None, window: in
     """
     carry = carried(docs.columns if carry is None else carry, OURS)
     size = text_size(docs)
-    batches, shards = -(-size // batch_bytes) or 1, -(-size // shard_bytes) or 1
+    spread = min(4 * docs.sparkSession.sparkContext.defaultParallelism, size >> 20)  # so that small inputs use every core
+    batches, shards = max(1, -(-size // batch_bytes), spread), -(-size // shard_bytes) or 1
     deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("__b")
     given = with_text(docs, carry, F.col("doc_id").cast("long").alias("__id"), deal)
     kinds = dict(zip(OURS, (T.LongType(), T.LongType(), T.StringType(), T.StringType()), strict=True))
