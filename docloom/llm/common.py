@@ -74,6 +74,12 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def finite(column: str) -> Column:
+    """Whether a vector is neither null nor holds null or non-finite entries."""
+    x = F.col(column).cast("array<double>")
+    return F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
+
+
 def text_size(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a column's texts."""
     return docs.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
