@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,17 +37,21 @@ def vector_search(chunks: DataFrame, query: list[float], top: int = VECTOR_TOP,
     return scored.filter(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), "chunk_id").limit(check_top(top))
 
 
-def vector_search_batch(chunks: DataFrame, queries: DataFrame, top: int = VECTOR_TOP, min_similarity: float = MIN_SIMILARITY, exclude_self: bool = False) -> DataFrame:
+def vector_search_batch(chunks: DataFrame, queries: DataFrame, top: int = VECTOR_TOP, min_similarity: float = MIN_SIMILARITY, exclude_self: bool = False, within: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, similarity, rank for every row of queries (query_id, embedding) against chunks (chunk_id long,
-    embedding). Blocks of queries meet blocks of chunks, each pair of blocks one matrix product that keeps its best `top`
-    of each query; the best of all blocks are then ranked. Similarities are rounded to 12 digits before they are ranked."""
-    top = check_top(top)
-    good = lambda df, i: df.filter(vectors.valid(F.col("embedding"))).select(F.col(i).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    embedding), or those that agree with it in the columns `within`. Blocks of queries meet blocks of chunks, each pair of
+    blocks one matrix product that keeps its best `top` of each query; the best of all blocks are then ranked: an exact
+    product, for which every chunk goes once to each block of queries. Similarities are rounded to 12 digits before they are
+    ranked."""
+    top, g = check_top(top), [f"__g{i}" for i in range(len(within))]
+    good = lambda df, i: df.filter(vectors.valid(F.col("embedding"))).select(F.col(i).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), *[F.col(w).alias(x) for w, x in zip(within, g, strict=True)])
     c, q = good(chunks, "chunk_id"), good(queries, "query_id")
+    if g:  # chunks that no query asks for stay where they are
+        c = c.join(q.select(*g).distinct(), g, "left_semi")
     n_c, n_q = (max(1, -(-df.count() // size)) for df, size in ((c, CHUNK_BLOCK), (q, QUERY_BLOCK)))
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    left = q.select("id", "v", block(n_q, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
-    right = c.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), block(n_c, 2).alias("c"))
+    left = q.select("id", "v", *g, block(n_q, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
+    right = c.select("id", "v", *g, F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), block(n_c, 2).alias("c"))
 
     def cell(a, b):
         out = {"query_id": [np.empty(0, np.int64)], "chunk_id": [np.empty(0, np.int64)], "similarity": [np.empty(0)]}
@@ -72,7 +76,7 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, top: int = VECTOR
                 out["similarity"].append(score[best])
         return pa.table({k: np.concatenate(v) for k, v in out.items()})
 
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(cell, "query_id long, chunk_id long, similarity double")
+    found = left.groupBy(*g, "q", "c").cogroup(right.groupBy(*g, "q", "c")).applyInArrow(cell, "query_id long, chunk_id long, similarity double")
     return ranked(found, "similarity", top)
 
 
@@ -195,13 +199,15 @@ def fuse(vector: DataFrame, lexical: DataFrame, top: int, weights: tuple[float,
     return scored.withColumn("fused_rank", F.row_number().over(order)).filter(F.col("fused_rank") <= top).drop("rv", "rl")
 
 
-def hybrid(chunks: DataFrame, query: str, vector: list[float], top: int = HYBRID_TOP, min_similarity: float = MIN_SIMILARITY, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
-    """Both legs over three times `top` candidates, fused. Raises if the query has no usable term."""
+def hybrid(chunks: DataFrame, query: str, vector: list[float], top: int = HYBRID_TOP, min_similarity: float = MIN_SIMILARITY, weights: tuple[float, float] = WEIGHTS, lexical: Callable[[int], DataFrame] | None = None) -> DataFrame:
+    """Both legs over three times `top` candidates, fused. Raises if the query has no usable term. lexical: the other leg, of
+    so many rows (query_id 0, chunk_id, rank, score); by default plain words without stems."""
     wide = EXPANSION * check_top(top)
     text.query_terms(query)
     v = vector_search(chunks.select("chunk_id", "embedding"), vector, wide, min_similarity)
     v = v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id"))).withColumn("query_id", F.lit(0).cast("long"))
-    return fuse(v, lexical_search(chunks, query, wide).withColumn("query_id", F.lit(0).cast("long")), top, weights)
+    leg = lexical_search(chunks, query, wide).withColumn("query_id", F.lit(0).cast("long")) if lexical is None else lexical(wide)
+    return fuse(v, leg, top, weights)
 
 
 # --- trust, results, counters ---

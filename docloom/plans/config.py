@@ -12,6 +12,7 @@ class Config:
     search_mode: str = "vector"
     vector_weight: float | None = None
     lexical_weight: float | None = None
+    fts_language: str | None = None
     trust_scoring: bool = False
     trust_on: str = "document"  # "chunk": weights come from chunk metadata, which ingest leaves without them
     reranker: str = "none"
@@ -34,7 +35,7 @@ class Config:
         from ..operators.cost import valid_budget
 
         return Config(
-            search_mode=e.get("SEARCH_MODE", "vector").strip().lower(), vector_weight=number("HYBRID_VECTOR_WEIGHT"), lexical_weight=number("HYBRID_BM25_WEIGHT"),
+            search_mode=e.get("SEARCH_MODE", "vector").strip().lower(), vector_weight=number("HYBRID_VECTOR_WEIGHT"), lexical_weight=number("HYBRID_BM25_WEIGHT"), fts_language=e.get("FTS_LANGUAGE"),
             trust_scoring=e.get("ENABLE_TRUST_SCORING") == "true", reranker=e.get("RERANKER_PROVIDER", "none"), reranker_override=e.get("RERANKER_PROVIDER_OVERRIDE"),
             max_candidates=int(number("RERANK_MAX_CANDIDATES") or 50), code_provider=e.get("CODE_EMBEDDING_PROVIDER", "voyage"), writing_provider=e.get("WRITING_EMBEDDING_PROVIDER", "openai"),
             docs_provider=e.get("DOC_EMBEDDING_PROVIDER", "ollama"), comparison=e.get("ENABLE_COMPARISON") == "true", contradictions=e.get("ENABLE_CONTRADICTION_DETECTION") == "true",

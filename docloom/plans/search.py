@@ -8,9 +8,9 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import stems, text, vectors
 from ..operators import approaches as groups
-from ..operators import embed, rerank, search
+from ..operators import embed, fulltext, rerank, search
 from ..session import stored
 from .config import Config
 
@@ -29,12 +29,28 @@ def embed_query(query: str, provider: str) -> list[float]:
     return embed.checked(embed.with_retries(embed.REGISTRY[provider](), [query], delay=0)[0])
 
 
+def lexical_leg(pool: DataFrame, query: str, collection: str | None, top: int, language: str, index: str | None) -> DataFrame:
+    """Best chunks by cover density, from a scan of pool or from an index. An index of several collections that doesn't carry
+    them can't answer for one of them."""
+    if index is None:
+        return fulltext.scan_search(pool, query, language, top)
+    spark = pool.sparkSession
+    text.query_terms(query)
+    asked = spark.createDataFrame([(0, query, collection)], "query_id long, query string, collection_id string")
+    carry = fulltext.settings(spark, index)["carry"]
+    if collection is not None and carry != ["collection_id"] or collection is None and carry:
+        raise ValueError("the index does not fit the search's collection")
+    return fulltext.search_index(spark, index, asked, top)
+
+
 def search_rag(
     chunks: DataFrame, documents: DataFrame, query: str, collection: str | None = None, top: int | None = None, min_similarity: float = search.MIN_SIMILARITY, mode: str | None = None, reranking: bool = False,
     rerank_top: int | None = None, vector: list[float] | None = None, provider: str = "ollama", config: Config | None = None,
+    language: str | None = None, index: str | None = None,
 ) -> DataFrame:
     """The best chunks for a query. chunks: id, doc_id, text, embedding, metadata; documents: id, collection_id, title,
-    source_url, metadata. Comes with the scores of every step, rank, and the document's title and URL. The search itself
+    source_url, metadata. The lexical leg stems by language (asked, else configured, else English), or reads a stored index
+    of the chunks that may carry collection_id. Comes with the scores of every step, rank, and the document's title and URL. The search itself
     sees ids, vectors and tokens; texts and documents are joined to the few results."""
     query, config = query.strip(), config or Config()
     if not query:
@@ -54,7 +70,8 @@ def search_rag(
     else:
         cap, fetched, kept = rerank.window_sizes(top, config.max_candidates, rerank_top) if reranking else (0, out, out)
         weights = search.resolve_weights(config.vector_weight, config.lexical_weight)
-        found = search.hybrid(pool, query, vector, fetched, min_similarity, weights).drop("query_id", "fused_rank")
+        leg = lambda wide: lexical_leg(pool, query, collection, wide, stems.resolve_language(language, config.fts_language), index)
+        found = search.hybrid(pool, query, vector, fetched, min_similarity, weights, leg).drop("query_id", "fused_rank")
     docs = documents.select(F.col("id").alias("doc_id"), F.col("title").alias("doc_title"), "source_url", F.col("metadata").alias("doc_metadata"))
     rows = chunks.select(F.col("id").alias("chunk_id"), "doc_id", "text", "metadata")
     full = rows.join(F.broadcast(found), "chunk_id").join(docs, "doc_id", "left").withColumn("similarity", F.col("fused_score"))  # found: up to 50 rows
