@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import schema
 from .functions import metadata, rules, text, urls
 from .operators import catalog, chunk, cost, embed
+from .plans.config import Config
 from .plans.ingest import context_of, document_metadata, ingest, status_log
+from .plans.tools import Library
 from .queries import _CHUNKS, _USAGE, AS_OF, NOW, chunks, documents, query, usage
 from .session import load, scratch
 from .sources import files, web
+from .sources.commits import Store
 
 # --- catalogue ---
 
@@ -322,3 +328,62 @@ def new_alerts(spark, sf):
 @query(f"SELECT chunk_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 420) AS text FROM {_CHUNKS}")
 def snippets(spark, sf):
     return chunks(spark, sf).select("chunk_id", text.shortened(text.squeezed(F.col("text")), 420).alias("text"))
+
+
+# --- commits of several tables ---
+
+
+def _as(df: DataFrame, kind: T.StructType) -> DataFrame:
+    """df's columns as a table of the model, the missing ones null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+
+
+def _library(spark: SparkSession, sf: str) -> Library:
+    """Collections, documents and chunks of the test tables in one commit."""
+    lib = Library(spark, scratch(spark, "library"), Config(as_of=AS_OF))
+    docs, at = documents(spark, sf), F.lit(AS_OF)
+    c = docs.select(F.col("collection_id").alias("id"), F.col("collection_id").alias("name")).distinct().withColumns({"created_at": at, "updated_at": at})
+    lib.load(
+        collections=_as(c, schema.COLLECTIONS), documents=_as(docs.withColumn("updated_at", at), schema.DOCUMENTS),
+        chunks=_as(chunks(spark, sf).withColumnRenamed("chunk_id", "id"), schema.CHUNKS),
+    )
+    return lib
+
+
+@query(
+    "SELECT 'collection' AS kind, source AS id FROM documents WHERE source <> 'src1' GROUP BY source UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE source <> 'src1'"
+    f" UNION ALL SELECT 'chunk', CAST(chunk_id AS VARCHAR) FROM {_CHUNKS} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')"
+)
+def facade_delete(spark, sf):
+    """A collection goes with its documents and their chunks in one commit."""
+    lib = _library(spark, sf)
+    lib.delete_collection("src1")
+    at = lib.store.snapshot()
+    left = [lib.table(f"{kind}s", at).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")) for kind in ("collection", "document", "chunk")]
+    return left[0].union(left[1]).union(left[2])
+
+
+@query("SELECT source AS id, count(*) AS doc_count FROM documents GROUP BY source")
+def facade_collections(spark, sf):
+    return _library(spark, sf).list_collections().select("id", "doc_count")
+
+
+@query(
+    f"SELECT d.doc_id AS id, d.status, count(c.chunk_id) AS chunk_count, CAST(sum(c.token_count) AS BIGINT) AS token_count FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 2 = 0 THEN 'complete' ELSE 'pending' END AS status FROM documents"
+    f" WHERE source = 'src2' ORDER BY doc_id DESC LIMIT 50) d LEFT JOIN {_CHUNKS} c ON c.doc_id = d.doc_id GROUP BY ALL"
+)
+def facade_documents(spark, sf):
+    return _library(spark, sf).list_documents("src2").select(F.col("id").cast("long").alias("id"), "status", "chunk_count", "token_count")
+
+
+@query(f"SELECT chunk_id, doc_id, chunk_index, CASE WHEN short THEN 'again' ELSE text END AS text FROM (SELECT *, length(first_value(text) OVER (PARTITION BY doc_id ORDER BY chunk_index)) < 200 AS short FROM {_CHUNKS}) WHERE NOT short OR chunk_index = 0")
+def chunk_increments(spark, sf):
+    """Conversations whose first turn is short come again as one chunk, twice by the same batch, and the store is compacted."""
+    rows = chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index", "text")
+    store = Store(spark, scratch(spark, "store"), {"chunks": rows.schema}, {"chunks": "doc_id"})
+    store.append(chunks=rows)
+    new = rows.filter("chunk_index = 0 and length(text) < 200").withColumn("text", F.lit("again"))
+    for _ in range(2):
+        store.transact(lambda _: {"chunks": store.put("chunks", new)}, ("again", 1))
+    store.compact("chunks")
+    return store.read("chunks")

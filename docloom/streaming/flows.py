@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.cost import SILENCE
 from ..plans.config import Config
 from ..plans.ingest import ingest
+from ..sources.commits import Store
 from ..sources.files import store_chunks
 
 
@@ -30,6 +31,18 @@ def ingest_stream(documents: DataFrame, chunks_path: str, checkpoint: str, confi
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
+def ingest_to_store(documents: DataFrame, store: Store, checkpoint: str, name: str = "ingest", config: Config | None = None, every: str | None = None) -> StreamingQuery:
+    """ingest_stream() into the table "chunks" of a store of commits: a batch writes what it brings, and one that is run
+    again after its commit writes nothing. The stream goes by name in the store."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        made, _outcomes = ingest(batch.dropDuplicates(["id"]), config)
+        store.transact(lambda _: {"chunks": store.put("chunks", made)}, (name, number))
+
+    writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
 def usage_windows(usage: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Requests and cost by window, provider and operation; rows later than `late` are left out. Works on batches too."""
     timed = usage.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
