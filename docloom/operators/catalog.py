@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metadata as typed
 from ..schema import SEED_COLLECTIONS, STATUSES
 
 # --- reads ---
@@ -115,7 +116,10 @@ def set_status(documents: DataFrame, ids: Column, status: str, as_of: Column, er
 
 
 def merge_metadata(documents: DataFrame, ids: Column, more: Column) -> DataFrame:
-    """A shallow merge; the right side wins. Needs no map setting: keys of the right side are dropped from the left first."""
+    """A shallow merge; the right side wins. Needs no map setting: keys of the right side are dropped from the left first.
+    Metadata is a map of text, or a variant whose values keep their types (more is then a variant)."""
+    if dict(documents.dtypes)["metadata"] == "variant":
+        return documents.withColumn("metadata", F.when(ids, typed.merged(F.col("metadata"), more)).otherwise(F.col("metadata")))
     left = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(more), k))
     return documents.withColumn("metadata", F.when(ids, F.map_concat(left, more)).otherwise(F.col("metadata")))
 

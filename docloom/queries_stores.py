@@ -330,6 +330,27 @@ def snippets(spark, sf):
     return chunks(spark, sf).select("chunk_id", text.shortened(text.squeezed(F.col("text")), 420).alias("text"))
 
 
+# --- typed metadata ---
+
+
+@query(
+    "SELECT doc_id, CASE WHEN source <> 'src1' THEN CAST(json_object('deep', json_object('z', doc_id), 'lang', lang, 'list', json_array(doc_id, 1.5::DOUBLE, source, NULL), 'n_chars', n_chars, 'page', json_array(n_chars, true)) AS VARCHAR)"
+    " ELSE CAST(json_object('deep', json_object('a', json_object('b', n_chars), 'source', source), 'lang', lang, 'list', json_array(doc_id, 1.5::DOUBLE, source, NULL), 'n_chars', n_chars) AS VARCHAR) END AS metadata,"
+    " CASE WHEN source <> 'src1' THEN n_chars END AS page, CASE WHEN source = 'src1' THEN n_chars END AS deep_b, n_chars * 2 AS twice, CASE WHEN source <> 'src1' THEN 'array' END AS page_kind FROM documents"
+)
+def metadata_typed_merge(spark, sf):
+    """Numbers, lists and nested objects keep their types; a nested object is replaced whole."""
+    d = load(spark, sf, "documents")
+    left = F.to_json(F.struct(F.struct(F.struct(F.col("n_chars").alias("b")).alias("a"), "source").alias("deep"), "lang", "n_chars"), {"ignoreNullFields": "false"})
+    items = F.concat(F.lit('{"list":['), F.col("doc_id"), F.lit(',1.5,"'), F.col("source"), F.lit('",null]}'))
+    more = F.concat(F.lit('{"deep":{"z":'), F.col("doc_id"), F.lit('},"page":['), F.col("n_chars"), F.lit(",true]}"))
+    given = d.withColumn("metadata", metadata.merged(F.parse_json(left), F.parse_json(items)))
+    found = catalog.merge_metadata(given, F.col("source") != "src1", F.parse_json(more))
+    get = lambda path, kind: metadata.value(F.col("metadata"), path, kind)
+    text_ = F.to_json("metadata")
+    return found.select("doc_id", text_.alias("metadata"), get("$.page[0]", "bigint").alias("page"), get("$.deep.a.b", "bigint").alias("deep_b"), (get("$.n_chars", "bigint") * 2).alias("twice"), metadata.json_type(text_, "page").alias("page_kind"))
+
+
 # --- commits of several tables ---
 
 

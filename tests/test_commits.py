@@ -150,3 +150,18 @@ def test_ingest_stream_into_a_store(spark, tmp_path):
     assert store.snapshot().version == 2 and {r.text[:5] for r in store.read("chunks").collect()} == {"Other"}
     run("another")  # its batch 0 is known by the stream's name: nothing is written
     assert store.snapshot().version == 2 and commits.SEQ not in store.read("chunks").columns
+
+
+def test_typed_metadata_keeps_its_types(spark):
+    from docloom.functions import metadata
+    from docloom.operators import catalog
+
+    given = [
+        ('{"stars":1200,"b":{"x":[1,2.5,null]},"c":true}', '{"page":3,"b":{"z":"q"}}', '{"b":{"z":"q"},"c":true,"page":3,"stars":1200}'),
+        (None, '{"a":[]}', '{"a":[]}'), ("[1]", '{"a":1}', '{"a":1}'), ("no json", None, "{}"), ('{"a":null}', '{"b":null}', '{"a":null,"b":null}'), ('{"a":"1"}', '{"a":1}', '{"a":1}'),
+    ]
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "id int, l string, r string, want string")
+    assert all(r[0] == r[1] for r in df.select(metadata.typed_merged(F.col("l"), F.col("r")), "want").collect())
+    typed = df.select("id", F.try_parse_json("l").alias("metadata"), F.try_parse_json("r").alias("more"))
+    found = catalog.merge_metadata(typed, F.col("id") == 0, F.col("more")).orderBy("id").select(F.to_json("metadata"), metadata.value(F.col("metadata"), "$.stars", "int"), metadata.value(F.col("metadata"), "$.c", "int")).collect()
+    assert [tuple(r) for r in found[:2]] == [(given[0][2], 1200, 1), (None, None, None)] and found[5][0] == '{"a":"1"}'
