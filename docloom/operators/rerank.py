@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,34 +58,48 @@ def by_position(found: list, n: int) -> list[float | None]:
     return out
 
 
+def scored_by(chain: list[tuple[str, Callable]], ready: dict[str, Callable], pairs: list[tuple[str, str]]) -> tuple[list[float | None] | None, str]:
+    """Scores of all pairs of one query by the first scorer that answers every call, and its name; None and none if none
+    does. ready keeps what was made."""
+    for name, make in chain:
+        try:
+            run = ready.get(name) or ready.setdefault(name, make())
+            return [s for at in range(0, len(pairs), BATCH) for s in by_position(run(pairs[at : at + BATCH]), len(pairs[at : at + BATCH]))], name
+        except Exception:
+            ready.pop(name, None)
+    return None, "none"
+
+
 def rerank(candidates: DataFrame, provider: str, top: int = DEFAULT_OUT, cap: int = MOST) -> DataFrame:
     """candidates (query_id, pos, query, text, similarity) with rerank_score, rerank_provider, original_similarity and
     rerank_rank; similarity becomes the rerank score. pos is the place before reranking and breaks ties. A scorer that fails
-    hands over to the local one, and that to passing the similarities through; none does so at once. A scorer that names
-    candidates by index drops those it doesn't name."""
+    at any of a query's candidates hands the whole query over to the local one, and that to passing the similarities through
+    in their order, so that a query's scores are of one provider; none passes through at once. A scorer that names
+    candidates by index drops those it doesn't name. A query's candidates, `cap` at most, are in one task."""
     given = candidates.filter(F.col("pos") <= cap)
-    chain = [p for p in dict.fromkeys((provider, "bge")) if provider != "none" and p in REGISTRY]
-    scorers = [(p, REGISTRY[p]) for p in chain]
-    schema = T.StructType([*given.schema.fields, T.StructField("rerank_score", T.DoubleType()), T.StructField("rerank_provider", T.StringType())])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, Callable] = {}
-        for b in batches:
-            pairs, scores, used = list(zip(b["query"], b["text"], strict=True)), None, "none"
-            for name, make in scorers:
-                try:
-                    run = ready.setdefault(name, make())
-                    scores = [s for at in range(0, len(pairs), BATCH) for s in by_position(run(pairs[at : at + BATCH]), len(pairs[at : at + BATCH]))]
-                    used = name
-                    break
-                except Exception:
-                    ready.pop(name, None)
-            scored = b.assign(rerank_score=b["similarity"] if scores is None else pd.Series(scores, b.index, "float64"), rerank_provider=used)
-            yield scored[scored["rerank_score"].notna()] if scores is not None else scored
-
-    scored = given.mapInPandas(score, schema) if scorers else given.withColumns({"rerank_score": F.col("similarity"), "rerank_provider": F.lit("none")})
-    order = [F.desc("rerank_score"), "pos"] if scorers else ["pos"]
-    placed = scored.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rerank_rank") <= top)
+    chain = [(p, REGISTRY[p]) for p in dict.fromkeys((provider, "bge")) if provider != "none" and p in REGISTRY]
+    if chain:
+        schema = T.StructType([*given.schema.fields, T.StructField("rerank_score", T.DoubleType()), T.StructField("rerank_provider", T.StringType()), T.StructField("rerank_rank", T.IntegerType())])
+        ready: dict[str, Callable] = {}  # travels empty; a task's queries share what it makes
+
+        def score(group: pa.Table) -> pa.Table:
+            scores, used = scored_by(chain, ready, list(zip(group["query"].to_pylist(), group["text"].to_pylist(), strict=True)))
+            places = group["pos"].to_pylist()
+            if scores is None:
+                scores, order = group["similarity"].cast(pa.float64()).to_pylist(), sorted(range(len(places)), key=places.__getitem__)
+            else:
+                order = sorted((i for i, s in enumerate(scores) if s is not None), key=lambda i: (-scores[i], places[i]))
+            order = order[:top]
+            more = pa.array([scores[i] for i in order], pa.float64()), pa.array([used] * len(order), pa.string()), pa.array(range(1, len(order) + 1), pa.int32())
+            out = group.take(pa.array(order, pa.int64()))
+            for name, column in zip(schema.names[-3:], more, strict=True):
+                out = out.append_column(name, column)
+            return out
+
+        placed = given.groupBy("query_id").applyInArrow(score, schema)
+    else:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+        placed = given.withColumns({"rerank_score": F.col("similarity"), "rerank_provider": F.lit("none"), "rerank_rank": rank}).filter(F.col("rerank_rank") <= top)
     return placed.withColumn("original_similarity", F.col("similarity")).withColumn("similarity", F.col("rerank_score"))
 
 

@@ -86,6 +86,42 @@ def rerank_fallback(spark, sf):
     return rerank.rerank(_candidates(spark, sf), rerank.choose_provider("cohere"), 3).select("query_id", "chunk_id", "rerank_rank", "rerank_provider")
 
 
+def _partly():
+    """Fails at some candidates, names the others by index."""
+
+    def run(pairs):
+        if any(len(t) % 97 < 3 for _, t in pairs):
+            raise RuntimeError("no answer")
+        return [{"index": i, "relevance_score": 1 - len(t) % 89 / 89} for i, (_, t) in enumerate(pairs)]
+
+    return run
+
+
+def _seldom():
+    def run(pairs):
+        if any(len(t) % 53 == 0 for _, t in pairs):
+            raise RuntimeError("out of memory")
+        return _by_length()(pairs)
+
+    return run
+
+
+@query(
+    f"WITH {_BATCH}, c AS (SELECT query_id, chunk_id, rank, similarity, length(text) AS n FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 10), p AS (SELECT *, CASE WHEN NOT bool_or(n % 97 < 3) OVER q THEN 'cohere' WHEN NOT bool_or(n % 53 = 0) OVER q THEN 'bge' ELSE 'none' END AS rerank_provider FROM c WINDOW q AS (PARTITION BY query_id)),"
+    " s AS (SELECT *, CASE rerank_provider WHEN 'cohere' THEN 1 - (n % 89) / 89.0::DOUBLE WHEN 'bge' THEN (n % 97) / 97.0::DOUBLE ELSE similarity END AS score FROM p),"
+    " o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rerank_provider <> 'none' THEN score END DESC, rank) AS INTEGER) AS rerank_rank FROM s) SELECT query_id, chunk_id, round(score, 9) AS score, rerank_rank, rerank_provider FROM o WHERE rerank_rank <= 5"
+)
+def rerank_partly_failing(spark, sf):
+    """Scorers that fail at some candidates: every query's scores are of one provider, whichever answered for all of them."""
+    rerank.register("cohere", _partly)
+    rerank.register("bge", _seldom)
+    try:
+        found = rerank.rerank(_candidates(spark, sf), "cohere", 5)
+    finally:
+        rerank.register("bge", _by_length)
+    return found.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("score"), "rerank_rank", "rerank_provider")
+
+
 # --- approaches ---
 
 
