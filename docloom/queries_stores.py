@@ -330,6 +330,24 @@ def snippets(spark, sf):
     return chunks(spark, sf).select("chunk_id", text.shortened(text.squeezed(F.col("text")), 420).alias("text"))
 
 
+_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\f\\r ]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, lang || CASE WHEN len(l) > 0 THEN chr(10) || chr(10) ELSE '' END || array_to_string(l, chr(10) || chr(10)) AS text FROM (SELECT doc_id, lang, {_LINES} AS l FROM documents)")
+def markdown_documents(spark, sf):
+    """Whole documents written as Markdown (a heading, then lines by turns as emphasised paragraphs, items, quotes and code,
+    every mark in them escaped) and read back."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\f\\r ]+", " "))), lambda x: x != "")
+    safe = lambda x: F.regexp_replace(x, r"([!-/:-@\[-`{-~])", r"\\$1")
+    kinds = lambda x, i: (
+        F.when(i % 5 == 0, F.concat(F.lit("**"), safe(x), F.lit("**"))).when(i % 5 == 1, F.concat(F.lit("- "), safe(x))).when(i % 5 == 2, F.concat(F.lit("> 1. "), safe(x)))
+        .when(i % 5 == 3, F.concat(F.lit("~~~~~~~~~~\n"), x, F.lit("\n~~~~~~~~~~"))).otherwise(F.concat(F.lit("["), safe(x), F.lit("](/u 't')")))
+    )
+    source = F.concat(F.lit("# "), "lang", F.lit(" #\n\n"), F.array_join(F.transform(lines, kinds), "\n\n"))
+    given = load(spark, sf, "documents").select("doc_id", source.cast("binary").alias("content"), F.lit("text/markdown").alias("content_type"))
+    return files.extract(given, ["doc_id"]).select("doc_id", "text")
+
+
 # --- typed metadata ---
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import word_count
+from . import commonmark
 
 UPLOAD_LIMIT, REMOTE_LIMIT = 100 << 20, 50 << 20
 SAFE_ID, SAFE_EXTENSION = re.compile(r"[A-Za-z0-9-]+"), re.compile(r"\.[A-Za-z0-9]{1,10}")
@@ -65,16 +66,12 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join("".join(part[e.tag](e) for e in p.iter() if e.tag in part) for p in root.iter(f"{w}p")).strip()
 
 
-_MARKS = [
-    (re.compile(r"^(```|~~~)[^\n]*\n(.*?)^\1[^\n]*$", re.S | re.M), r"\2"), (re.compile(r"^#{1,6}[ \t]+(.*?)[ \t]*#*$", re.M), r"\1"), (re.compile(r"^ {0,3}> ?", re.M), ""), (re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", re.M), ""),
-    (re.compile(r"^[ \t]*(?:[-*_][ \t]*){3,}$", re.M), ""), (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__)(.+?)\1"), r"\2"), (re.compile(r"(?<![\w*])[*_](\S.*?)[*_](?![\w*])"), r"\1"), (re.compile(r"`([^`]+)`"), r"\1"),
-]
-
-
 def markdown_text(text: str) -> str:
-    for pattern, to in _MARKS:
-        text = pattern.sub(to, text)
-    return text
+    """The text of Markdown; as it stands if there is none, or if it is nested too deeply to be read."""
+    try:
+        return commonmark.plain(text) or text
+    except RecursionError:
+        return text
 
 
 def extract_one(kind: str | None, content: bytes, parsers: dict[str, Callable]) -> tuple[str, int | None]:

@@ -14,7 +14,14 @@ from ..functions import urls
 
 MOST_PAGES = 25
 _SKIP, _VOID = {"script", "style", "noscript", "template"}, {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
-_BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "header", "footer", "nav", "aside", "body"}
+_BLOCK = {
+    "p", "div", "section", "article", "main", "ul", "ol", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "header", "footer", "nav", "aside", "body", "dl", "dt", "dd", "figure", "figcaption", "form", "fieldset", "details",
+    "summary", "address",
+}
+#: Text that would read as a mark of Markdown, and what is written for it.
+_ESCAPES = [
+    (re.compile(r"([\\*`\[\]_])"), r"\\\1"), (re.compile(r"^(\s*)(-|\+ |=+|#{1,6} |~~~|>)"), r"\1\\\2"), (re.compile(r"^(\s*\d+)\. "), r"\1\\. "),
+]
 
 
 class _Tree(HTMLParser):
@@ -26,7 +33,11 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul") and self.open[-1][0] == "p" or tag == "li" == self.open[-1][0]:
+        if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "pre", "blockquote") and self.open[-1][0] == "p" or tag == "li" == self.open[-1][0]:
+            self.open.pop()
+        if tag in ("td", "th", "tr") and self.open[-1][0] in ("td", "th"):
+            self.open.pop()
+        if tag == "tr" == self.open[-1][0]:
             self.open.pop()
         e = [tag, dict(attrs), []]
         self.open[-1][2].append(e)
@@ -78,55 +89,79 @@ def content_root(root: list) -> list:
     return next(_find(root, lambda e: e[0] == "body"), root)
 
 
-def markdown(e) -> str:
-    """ATX headings, - bullets, fenced code, inline marks."""
+def escape(text: str) -> str:
+    for pattern, to in _ESCAPES:
+        text = pattern.sub(to, text)
+    return text
+
+
+def markdown(e, escaped: bool = False, marker: str = "-   ") -> str:
+    """ATX headings, - bullets and numbers, nested lists indented, fenced code, inline marks; cells of tables are blocks.
+    marker: what an item begins with. escaped: marks within texts are written so that they stay text."""
     if isinstance(e, str):
-        return " ".join(e.split("\n")) if e.strip() else (" " if e else "")
+        text = " ".join(e.split("\n")) if e.strip() else (" " if e else "")
+        return escape(text) if escaped else text
     tag, attrs, children = e
     if tag in _SKIP or tag == "head":
         return ""
     if tag == "pre":
-        return f"\n\n```\n{text_of(e).strip(chr(10))}\n```\n\n"
+        code = text_of(e).strip("\n")
+        fence = "`" * max(3, 1 + max(map(len, re.findall("^`{3,}", code, re.M)), default=0))
+        return f"\n\n{fence}\n{code}\n{fence}\n\n"
     if tag == "br":
         return "  \n"
     if tag == "hr":
         return "\n\n* * *\n\n"
     if tag == "img":
         return f"![{attrs.get('alt') or ''}]({attrs['src']})" if attrs.get("src") else ""
-    inner = "".join(map(markdown, children))
+    if tag == "code":
+        code = text_of(e)
+        ticks = "`" * (1 + max(map(len, re.findall("`+", code)), default=0))
+        pad = " " if code.startswith("`") or code.endswith("`") else ""
+        return f"{ticks}{pad}{code}{pad}{ticks}" if code else ""
+    inner = "".join(markdown(c, escaped, begin) for c, begin in _marked(e))
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         return f"\n\n{'#' * int(tag[1])} {' '.join(inner.split())}\n\n"
     if tag == "li":
-        return f"\n-   {inner.strip()}\n"
+        lines = re.sub(r"\n{3,}", "\n\n", inner.strip()).split("\n")
+        return f"\n{marker}" + "\n".join([lines[0], *(f"    {x}" if x.strip() else "" for x in lines[1:])]) + "\n"
     if tag == "blockquote":
-        return "\n\n" + "\n".join(f"> {x}" for x in inner.strip().split("\n")) + "\n\n"
+        return "\n\n" + "\n".join(f"> {x}" for x in re.sub(r"\n{3,}", "\n\n", inner.strip()).split("\n")) + "\n\n"
     if tag == "a":
         return f"[{inner.strip()}]({attrs['href']})" if attrs.get("href") and inner.strip() else inner
     if tag in ("b", "strong") and inner.strip():
         return f"**{inner.strip()}**"
     if tag in ("i", "em") and inner.strip():
         return f"_{inner.strip()}_"
-    if tag == "code":
-        return f"`{inner}`"
     return f"\n\n{inner.strip()}\n\n" if tag in _BLOCK else inner
 
 
-def to_markdown(html: str | None) -> str:
+def _marked(e: list) -> Iterator[tuple[list | str, str]]:
+    """An element's children and how they begin if they are items: numbers count from the list's start."""
+    first = e[1].get("start") or "1"
+    number = int(first) if re.fullmatch(r"-?[0-9]{1,9}", first) else 1
+    for c in e[2]:
+        item = e[0] == "ol" and not isinstance(c, str) and c[0] == "li"
+        yield c, f"{number}.  " if item else "-   "
+        number += item
+
+
+def to_markdown(html: str | None, escaped: bool = False) -> str:
     """Trimmed; empty on any failure."""
     try:
-        lines = [x.rstrip() if not x.endswith("  ") else x for x in markdown(content_root(tree(html or ""))).split("\n")]
+        lines = [x.rstrip() if not x.endswith("  ") else x for x in markdown(content_root(tree(html or "")), escaped).split("\n")]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
     except Exception:
         return ""
 
 
-def pages_to_markdown(pages: DataFrame, carry: list[str]) -> DataFrame:
+def pages_to_markdown(pages: DataFrame, carry: list[str], escaped: bool = False) -> DataFrame:
     given = pages.select(*carry, F.col("html").alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[carry].assign(markdown=[to_markdown(h) for h in b["__html"]])
+            yield b[carry].assign(markdown=[to_markdown(h, escaped) for h in b["__html"]])
 
     return given.mapInPandas(run, f"{schema}, markdown string")
 
