@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.cost import SILENCE
 from ..plans.config import Config
@@ -68,3 +69,68 @@ def silenced(alerts: DataFrame, silence: timedelta = SILENCE) -> DataFrame:
         yield pd.DataFrame({"alert_type": [key[0]] * len(out), "triggered_at": out})
 
     return alerts.groupBy("alert_type").applyInPandasWithState(step, "alert_type string, triggered_at timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Suppress(StatefulProcessor):
+    """Of one alert type: the time of the last alert raised, and candidates that wait for the watermark."""
+
+    def __init__(self, silence: timedelta):
+        self.silence = silence // timedelta(microseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.waiting = handle.getValueState("waiting", "us array<long>")
+
+    def _state(self) -> tuple[int | None, list[int]]:
+        return self.last.get()[0] if self.last.exists() else None, list(self.waiting.get()[0]) if self.waiting.exists() else []
+
+    def _wait(self, waiting: list[int]) -> None:
+        """Keeps what waits, with one timer for the first of it."""
+        if waiting:
+            self.waiting.update((waiting,))
+            self.handle.registerTimer(-(-waiting[0] // 1000))
+        else:
+            self.waiting.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, waiting = self._state()
+        new = {us for batch in rows for us in batch["us"].unique().tolist() if last is None or us - last >= self.silence}  # others are silent whatever comes
+        if new:
+            self._wait(sorted({*waiting, *new}))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000  # all up to here has come
+        last, waiting = self._state()
+        ripe, out = [us for us in waiting if us <= now], []
+        for us in ripe:
+            if last is None or us - last >= self.silence:
+                out.append(us)
+                last = us
+        if ripe:
+            self._wait([us for us in waiting[len(ripe) :] if last is None or us - last >= self.silence])
+        if out:
+            self.last.update((last,))
+            self.handle.registerTimer(-(-(last + self.silence) // 1000))  # by then the last alert is forgotten
+        elif last is not None and now >= last + self.silence:
+            self.last.clear()
+        return iter([pd.DataFrame({"alert_type": [key[0]] * len(out), "us": out})] if out else [])
+
+    def close(self) -> None:
+        pass
+
+
+def suppressed(alerts: DataFrame, silence: timedelta = SILENCE, late: str = "1 hour") -> DataFrame:
+    """Of a stream of candidate alerts (alert_type, triggered_at) those with none of their type raised less than `silence`
+    before, by event time: a candidate waits until the watermark, `late` behind the newest, has passed it, so out-of-order
+    and repeated rows within that give what replay_alerts gives over the whole log. Later rows are dropped. The state holds
+    each type's last alert, for as long as it silences others, and the candidates that wait. Needs the RocksDB state store
+    (ROCKSDB as spark.sql.streaming.stateStore.providerClass)."""
+    at = F.col("triggered_at").cast("timestamp")
+    timed = alerts.select("alert_type", at.alias("triggered_at"), F.unix_micros(at).alias("us")).withWatermark("triggered_at", late)
+    found = timed.groupBy("alert_type").transformWithStateInPandas(_Suppress(silence), "alert_type string, us long", "append", "eventTime")
+    return found.select("alert_type", F.timestamp_micros("us").alias("triggered_at"))
