@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import hosts
+
 # File extensions and their types.
 MIME = {
     ".pdf": "application/pdf", ".doc": "application/msword", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".md": "text/markdown",
@@ -18,32 +20,59 @@ def part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, _PARTS, i)
 
 
+def _cleaned(url: Column) -> Column:
+    """Without control characters and spaces at the ends, tabs and line ends within, and with / for the \\ of the authority
+    and path."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    head = F.regexp_extract(bare, r"^(?i)(https?:[^?#]*)", 1)
+    slashed = F.regexp_replace(F.translate(head, "\\", "/"), r"^(?i)(https?):/*", "$1://")
+    return F.when(head != "", F.concat(slashed, F.substring(bare, F.length(head) + 1, F.length(bare)))).otherwise(bare)
+
+
+def _segments(path: Column) -> Column:
+    """A path without empty segments and its . and .. resolved."""
+    dot = lambda s, n: F.regexp_replace(F.lower(s), "%2e", ".") == "." * n
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.split(path, "/"), lambda s: (s != "") & ~dot(s, 1))
+    return F.aggregate(kept, none, lambda acc, s: F.when(dot(s, 2), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+
+
+def _encoded_path(path: Column) -> Column:
+    """Characters that a path can't hold, percent-encoded; what is encoded already stays."""
+    plain = path.rlike(r"^[!$-;=@-Z\[\\\]_a-z|~^]*$")
+    each = F.transform(F.split(path, ""), lambda c: F.when(c.rlike(r"[^\x21-\x7e]|[\"#<>?`{}]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(plain, path).otherwise(F.array_join(each, ""))
+
+
+def _sorted_query(query: Column) -> Column:
+    """Parameters decoded, sorted by name (stably) and encoded as forms are."""
+    decoded = lambda x: F.try_url_decode(F.regexp_replace(x, "%(?![0-9a-fA-F]{2})", "%25"))
+    named = lambda p, i: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), i.alias("i"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"))
+    pairs = F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), named))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
+
+
 def normalised(url: Column) -> Column:
-    """Scheme and host in lower case, default port and fragment dropped, query parameters sorted by name (stably), runs of
-    / made one and a trailing / dropped, but the path / kept. Other schemes and what is no URL stay as they are."""
-    scheme, port, path, query = F.lower(part(url, 1)), part(url, 3), part(url, 4), F.substring(part(url, 5), F.lit(2), F.length(url))
-    port = F.when((port == ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
-    path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    numbered = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(F.split(p, "=")[0].alias("k"), i.alias("i"), p.alias("p")))
-    sorted_ = F.array_join(F.transform(F.array_sort(numbered), lambda x: x["p"]), "&")
-    whole = F.concat(scheme, F.lit("://"), F.lower(part(url, 2)), port, path, F.when(sorted_ == "", "").otherwise(F.concat(F.lit("?"), sorted_)))
-    return F.when(url.rlike(_PARTS), whole).otherwise(url)
+    """An http(s) URL as the public standard spells it: scheme and host canonical, default port and fragment dropped, .
+    and .. resolved, path percent-encoded, query parameters sorted by name (stably) and form-encoded, runs of / made one
+    and a trailing / dropped, but the path / kept. Other schemes and what is no URL stay as they are."""
+    return hosts.let(_cleaned(url), lambda clean: F.when(clean.rlike(_PARTS), F.coalesce(_whole(clean), url)).otherwise(url))
+
+
+def _whole(clean: Column) -> Column:
+    scheme, user = F.lower(part(clean, 1)), F.regexp_extract(clean, r"^(?i)https?://([^/?#@]+@)", 1)
+    number = F.substring(part(clean, 3), 2, 12).try_cast("int")
+    port = F.when(number.isNull() & (F.length(part(clean, 3)) < 2) | (number == F.when(scheme == "http", 80).otherwise(443)), "").when(number < 65536, F.concat(F.lit(":"), number.cast("string")))
+    path = F.concat(F.lit("/"), hosts.let(F.array_join(_segments(part(clean, 4)), "/"), _encoded_path))
+    query = hosts.let(_sorted_query(F.substring(part(clean, 5), F.lit(2), F.length(clean))), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    return F.concat(scheme, F.lit("://"), user, hosts.canonical(part(clean, 2)), port, path, query)
 
 
 def is_public(url: Column) -> Column:
-    """An http(s) URL whose host is a name but localhost, or an address outside the loopback, private and link-local
-    ranges."""
-    host = F.lower(part(url, 2))
-    v4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    octet = lambda i: F.split(host, r"\.")[i].try_cast("int")
-    fits = F.greatest(*[octet(i) for i in range(4)]) <= 255
-    private = (octet(0).isin(127, 10)) | ((octet(0) == 172) & octet(1).between(16, 31)) | ((octet(0) == 192) & (octet(1) == 168)) | ((octet(0) == 169) & (octet(1) == 254))
-    inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
-    first = F.conv(F.when(F.split(inner, ":")[0] == "", F.split(inner, ":")[1]).otherwise(F.split(inner, ":")[0]), 16, 10).cast("long")
-    local6 = inner.isin("::1", "0:0:0:0:0:0:0:1") | first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF)
-    public = F.when(inner != "", ~F.coalesce(local6, F.lit(False))).when(v4, F.coalesce(fits & ~private, F.lit(False))).otherwise(host != "localhost")
-    return F.coalesce(F.when(url.rlike(_PARTS), public).otherwise(F.lit(False)), F.lit(False))
+    """An http(s) URL whose host, made canonical, is a name but localhost, or an address outside the loopback, private and
+    link-local ranges."""
+    public = lambda clean: F.when(clean.rlike(_PARTS), hosts.is_public(hosts.canonical(part(clean, 2))))
+    return F.coalesce(hosts.let(_cleaned(url), public), F.lit(False))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:

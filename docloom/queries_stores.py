@@ -459,3 +459,23 @@ def chunk_increments(spark, sf):
         store.transact(lambda _: {"chunks": store.put("chunks", new)}, ("again", 1))
     store.compact("chunks")
     return store.read("chunks")
+
+
+_ADDRESS = "SELECT page_id, o, r, o * 16777216 + r AS v, page_id % 5 AS form FROM (SELECT page_id, [10, 127, 172, 192, 169, 8][page_id % 6 + 1]::BIGINT AS o, CASE WHEN page_id % 4 = 3 THEN 11010048 + page_id ELSE (page_id * 2654435761) % 16777216 END AS r FROM pages)"
+
+
+@query(
+    f"SELECT page_id, 'http://' || o || '.' || (r // 65536) || '.' || ((r // 256) % 256) || '.' || (r % 256) || '/' AS url,"
+    f" NOT (o IN (10, 127) OR (o = 172 AND r // 65536 BETWEEN 16 AND 31) OR (o = 192 AND r // 65536 = 168) OR (o = 169 AND r // 65536 = 254)) AS is_public FROM ({_ADDRESS})"
+)
+def public_addresses(spark, sf):
+    """Addresses written as one number in three bases, in two parts, or with a last dot come out as four numbers, and are
+    judged as those."""
+    i = F.col("page_id")
+    o = F.element_at(F.array(*[F.lit(x).cast("long") for x in (10, 127, 172, 192, 169, 8)]), (i % 6 + 1).cast("int"))
+    r = F.when(i % 4 == 3, 11010048 + i).otherwise((i * 2654435761) % 16777216)
+    v = o * 16777216 + r
+    dotted = F.concat_ws(".", o.cast("string"), F.concat(F.lit("0x"), F.hex(F.shiftright(r, 16))), F.concat(F.lit("0"), F.conv(F.shiftright(r, 8).bitwiseAND(F.lit(255)), 10, 8)), r.bitwiseAND(F.lit(255)).cast("string"))
+    forms = [v.cast("string"), F.concat(F.lit("0X"), F.hex(v)), F.concat(F.lit("0"), F.conv(v, 10, 8)), F.concat(o.cast("string"), F.lit("."), r.cast("string")), F.concat(dotted, F.lit("."))]
+    url = F.concat(F.lit("http://"), F.element_at(F.array(*forms), (i % 5 + 1).cast("int")))
+    return load(spark, sf, "pages").select("page_id", urls.normalised(url).alias("url"), urls.is_public(url).alias("is_public"))
