@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -67,6 +68,32 @@ TEMPLATES |= {
     **{f"CC-{k}-4.0-short": f"Licensed under CC {k} 4.0" for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
     **{f"CC-{k}-4.0-text": f"This work is licensed under a Creative Commons Attribution-{v} 4.0 International License" for k, v in _CC.items()},
 }
+_FAMILIES = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_VERSIONS = (("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"))
+
+
+def _gnu_header(family: str, version: str) -> str:
+    """The notice that the family's license asks programs to carry."""
+    what = "library" if family == "LGPL" else "program"
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {_FAMILIES[family]} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {_FAMILIES[family]} for more details."
+    )
+
+
+def _number(version: str) -> str:
+    return version if "." in version else f"{version}.0"
+
+
+_HEADERS = {f"{f}-{_number(v)}-header": (f, v) for f, v in _VERSIONS if (f, v) != ("GPL", "3")}
+TEMPLATES |= {name: _gnu_header(*x) for name, x in _HEADERS.items()}
+TEMPLATES |= {f"{f}-{_number(v)}-v": f"Licensed under the {_FAMILIES[f]} v{v}" for f, v in _VERSIONS}
+_SPDX = (
+    "0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0"
+    " GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense Zlib"
+).split()
+TEMPLATES |= {f"{i}-spdx": f"SPDX-License-Identifier: {i}" for i in _SPDX}
+
 NAMES = {
     "AGPL-3.0": "GNU Affero General Public License, version 3", "Apache-2.0": "Apache License, Version 2.0", "Apache-2.0-short": "Apache License 2.0",
     "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-short": "BSD License",
@@ -76,6 +103,11 @@ NAMES = {
     **{f"CC-{k}-4.0-short": f"CC {k} 4.0" for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
     **{f"CC-{k}-4.0-text": f"Attribution-{v} 4.0" for k, v in _CC.items()},
 }
+NAMES |= {f"{f}-{_number(v)}-v": f"{_FAMILIES[f]} v{v}" for f, v in _VERSIONS} | {f"{i}-spdx": f"SPDX-License-Identifier: {i}" for i in _SPDX}
+#: Phrases that tell long templates apart: each must stand unbroken in the stretch that is aligned.
+REQUIRED = {name: (f"terms of the {_FAMILIES[f]}", f"version {v} of the License") for name, (f, v) in _HEADERS.items()} | {"GPL-header": (f"terms of the {_FAMILIES['GPL']}", "version 3 of the License"), "Apache-2.0-header": ("Apache License, Version 2.0",)}
+#: One of these in a sentence, up to two words before its notice or between that and the license's name, denies it.
+DENIALS = frozenset((b"not", b"never", b"neither", b"nor", b"longer", b"unlike", b"cannot"))
 #: Templates of fewer words must have their whole name in the text, word after word; without a name, all their words.
 SHORT = 20
 
@@ -87,6 +119,23 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().translate(_BREAKS).split()
 
 
+_SENTENCE = re.compile(rb"[.!?;:]+(?=\s|$)|\n\s*\n")
+
+
+def sentence_start(data: bytes, at: int) -> int:
+    """The first word of the sentence that holds word `at`."""
+    n = start = 0
+    for piece in _SENTENCE.split(data):
+        if n > at:
+            break
+        start, n = n, n + len(words_of(piece))
+    return start
+
+
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0])
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Indexes of a longest strictly increasing subsequence (patience piles)."""
     tops, ends, back = [], [], [-1] * len(values)
@@ -140,6 +189,7 @@ class Scanner:
         self.templates = [(name, words_of(text.encode())) for name, text in sorted(templates.items())]
         self.bags = [Counter(words) for _, words in self.templates]
         self.names = [words_of(NAMES.get(name, "").encode()) if len(words) < SHORT and templates[name] == TEMPLATES.get(name) else [] for name, words in self.templates]
+        self.required = [[words_of(x.encode()) for x in REQUIRED.get(name, ())] if templates[name] == TEMPLATES.get(name) else [] for name, _ in self.templates]
         self.known = frozenset(w for _, words in self.templates for w in words)
 
     def stretches(self, words: list[bytes], bag: Counter, m: int) -> Iterator[tuple[int, int]]:
@@ -154,43 +204,63 @@ class Scanner:
                     if sum(min(n, bag[w]) for w, n in held.items()) >= need:
                         yield start, min(len(words), s + 2 * m)
 
-    def named(self, words: list[bytes], template: list[bytes], name: list[bytes]) -> tuple[float, int, int]:
-        """Best coverage, first and last word of a notice that has the name unbroken; the words before and after it are
-        aligned with as many, doubled, of the text."""
-        n, m, best = len(name), len(template), (0.0, 0, 0)
+    def named(self, data: bytes, words: list[bytes], template: list[bytes], name: list[bytes]) -> tuple[float, int, int, int]:
+        """Best coverage, first and last word of a notice that has the name unbroken and is not denied, and where the name
+        begins; the words before and
+        after it are aligned with as many, doubled, of the text."""
+        n, m, best = len(name), len(template), (0.0, 0, 0, 0)
         k = next(x for x in range(m) if template[x : x + n] == name)
         for at in [i for i, w in enumerate(words) if w == name[0] and words[i : i + n] == name]:
             start = max(0, at - 2 * k)
             head, tail = patience(words[start:at], template[:k]), patience(words[at + n : at + n + 2 * (m - n - k)], template[k + n :])
-            if (share := (len(head) + n + len(tail)) / m) > best[0]:
-                best = (share, start + head[0][0] if head else at, at + n + tail[-1][0] if tail else at + n - 1)
+            first = start + head[0][0] if head else at
+            if (share := (len(head) + n + len(tail)) / m) > best[0] and not (share >= self.coverage and self.denied(data, words, first, at)):
+                best = (share, first, at + n + tail[-1][0] if tail else at + n - 1, at)
         return best
 
+    def denied(self, data: bytes, words: list[bytes], first: int, end: int) -> bool:
+        """Whether a denial stands in the sentence before word `end`, from two words before `first` on."""
+        near = max(0, first - 2)
+        if DENIALS.isdisjoint(words[near:end]):
+            return False
+        return not DENIALS.isdisjoint(words[max(near, sentence_start(data, first)) : end])
+
     def scan(self, data: bytes) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word) of the best stretch of each template that is covered enough: the
-        first of those with the highest coverage. A short template counts only with its name; one that lies within a
-        longer one's notice (GPL within GPL-3.0) gives way."""
-        words, out, short = words_of(data), [], []
+        first of those with the highest coverage. A short template counts only with its name, a long one with its
+        required phrases, and none if its sentence denies it; a short one whose name lies within a longer name (GPL within
+        GPL-3.0) or within the notice of a long template gives way."""
+        words, out, named, whole = words_of(data), [], {}, []
         present = self.known.intersection(words)
-        for (name, template), bag, own in zip(self.templates, self.bags, self.names, strict=True):
+        for (name, template), bag, own, phrases in zip(self.templates, self.bags, self.names, self.required, strict=True):
             m = len(template)
             coverage = self.coverage if own or m >= SHORT else 1.0
             if not m or sum(n for w, n in bag.items() if w in present) < coverage * m:
                 continue
             best = (0.0, 0, 0)
             if own:
-                best = self.named(words, template, own)
+                *best, at = self.named(data, words, template, own)
             else:
                 for start, stop in self.stretches(words, bag, m):
                     found = patience(words[start:stop], template)
-                    if len(found) / m > best[0]:
-                        best = (len(found) / m, start + found[0][0], start + found[-1][0])
+                    if len(found) / m <= best[0]:
+                        continue
+                    first, last = start + found[0][0], start + found[-1][0]
+                    if all(holds(words[first : last + 1], x) for x in phrases) and not self.denied(data, words, first, first):
+                        best = (len(found) / m, first, last)
             if best[0] >= coverage:
                 out.append((name, *best))
                 if own:
-                    short.append((best[1], best[2], m))
-        length = {name: len(words) for name, words in self.templates}
-        return [x for x in out if not any(a <= x[2] and x[3] <= b and length[x[0]] < m < SHORT for a, b, m in short) or length[x[0]] >= SHORT]
+                    named[name] = (at, at + len(own) - 1)
+                elif m >= SHORT:
+                    whole.append((best[1], best[2]))
+
+        def within(name: str) -> bool:
+            a, b = named[name]
+            longer = [x for x in named.values() if x[1] - x[0] > b - a]
+            return any(c <= a and b <= d for c, d in [*longer, *whole])
+
+        return [x for x in out if x[0] not in named or not within(x[0])]
 
 
 SCHEMA = T.StructType(
@@ -205,7 +275,8 @@ def license_scan(docs: DataFrame, carry: list[str], templates: dict[str, str] |
     """carry and, for every row's whole text: the license whose template is best covered (ties: the longer template, then
     the first by name), its coverage (share of the template's words aligned), the positions of the first and last aligned
     word, the number of templates covered enough and their names joined by commas. None: nulls, 0 and an empty string;
-    so for null, empty and blank texts. Repeated rows come out repeated; columns of docs named as ours give way."""
+    so for null, empty and blank texts. Very long texts are scanned whole. Repeated rows come out repeated; no rows: no
+    rows; columns of docs named as ours give way."""
     carry = carried(carry, SCHEMA.names)
     given = with_text(docs, carry)
     schema = T.StructType([*carried_fields(docs, carry), *SCHEMA.fields])
