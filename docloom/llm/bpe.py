@@ -30,6 +30,16 @@ WHITE = r"|\s+(?!\S)|\s+"
 PIECES = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: What else a pattern that lets texts be cut may hold: alternatives of letters after an apostrophe, of character properties
+#: and of classes without white space, with a space before them at most.
+_TIGHT = re.compile(r"(?: \??)?(?:'[a-z]+|(?:\\p\{[A-Z][a-z]?\}|\[\^\\s(?:\\p\{[A-Z][a-z]?\})*\])[+*?]?)+")
+
+
+def parts_at_spaces(pattern: str) -> bool:
+    """Whether no match of a pattern goes on over white space into other characters, or from them into white space."""
+    return pattern.endswith(WHITE) and all(_TIGHT.fullmatch(x) for x in pattern[: -len(WHITE)].split("|"))
+
+
 def byte_characters() -> list[str]:
     """The byte table: for each byte the character that stands for it; printable ones stand for themselves, the others
     are numbered from 256 on."""
@@ -130,7 +140,7 @@ def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, list[bytes]]:
     if (path, pattern) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = tokenizer_of_ranks(read_ranks(path), pattern)
-        _ENCODERS[path, pattern] = PieceEncoder(made, cut=pattern.endswith(WHITE)), token_bytes(made)
+        _ENCODERS[path, pattern] = PieceEncoder(made, cut=parts_at_spaces(pattern)), token_bytes(made)
     return _ENCODERS[path, pattern]
 
 
