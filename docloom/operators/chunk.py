@@ -55,11 +55,11 @@ def chunk_text(text: str | None, max_size: int = MAX_SIZE, overlap: int = OVERLA
 def _end(source: str, start: int, hard: int, far: int) -> tuple[int, int]:
     if hard == len(source):
         return hard, hard
-    last = None
-    for m in BREAK.finditer(source, start):
-        if m.start() >= hard:
-            break
-        if m.start() > start:
+    last, stop = None, hard
+    while stop < len(source) and source[stop - 1] == source[stop] == "\n":  # a break that begins before hard is taken whole
+        stop += 1
+    for m in BREAK.finditer(source, start, stop):
+        if start < m.start() < hard:
             last = m.end()
     if last is not None:
         return last, hard
