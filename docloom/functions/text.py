@@ -21,7 +21,7 @@ def normal_lines(text: Column) -> Column:
 
 def pieces(text: Column) -> Column:
     """Pieces between runs of white space, empty ones at the ends counted."""
-    return F.size(F.split(text, f"{SPACE}+"))
+    return F.regexp_count(text, F.lit(f"{SPACE}+")) + 1
 
 
 def word_count(text: Column) -> Column:

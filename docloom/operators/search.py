@@ -107,11 +107,20 @@ def starts(prefix: str, field: str | None = None):
     return lambda x: (x[field] if field else x).startswith(prefix)
 
 
+def holding(chunks: DataFrame, wanted: list[str]) -> DataFrame:
+    """The chunks whose lower-case text holds every term somewhere: a cheap test that all matches pass before they are cut
+    into tokens."""
+    low, held = F.lower("text"), F.lit(True)
+    for w in wanted:
+        held = held & F.contains(low, F.lit(w))
+    return chunks.filter(held)
+
+
 def lexical_search(chunks: DataFrame, query: str, top: int = LEXICAL_TOP) -> DataFrame:
     """chunk_id, tf, score, rank of chunks (chunk_id, text) that have, for every term of the query, a token that starts with
     it. tf: tokens that start with some term; score: tf over the largest of those returned (not Okapi BM25)."""
     wanted = [t.lower() for t in text.query_terms(query)]
-    tokens = chunks.select("chunk_id", text.terms(F.col("text")).alias("t"))
+    tokens = holding(chunks, wanted).select("chunk_id", text.terms(F.col("text")).alias("t"))
     match = F.lit(True)
     for w in wanted:
         match = match & F.exists("t", starts(w))
@@ -160,7 +169,7 @@ def cover_density(positions: list[list[int]], weight: float = 0.1) -> float:
 def cover_density_search(chunks: DataFrame, query: str, top: int = LEXICAL_TOP) -> DataFrame:
     """As lexical_search, ranked by cover density; only the matching chunks' positions reach Python."""
     wanted = [t.lower() for t in text.query_terms(query)]
-    tokens = chunks.select("chunk_id", text.terms(F.col("text")).alias("t"))
+    tokens = holding(chunks, wanted).select("chunk_id", text.terms(F.col("text")).alias("t"))
     numbered = F.transform("t", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
     where = F.array(*[F.transform(F.filter(numbered, starts(w, "x")), lambda s: s["i"]) for w in wanted])
     hits = tokens.select("chunk_id", where.alias("w")).filter(F.forall("w", lambda p: F.size(p) > 0))
