@@ -484,4 +484,4 @@ def results_as_json(spark, sf):
     return search.as_json(fused(spark, sf), ["chunk_id", "source"])
 
 
-from . import queries_fulltext, queries_ranking, queries_stores  # noqa: E402, F401  they register their queries
+from . import queries_facade, queries_fulltext, queries_ranking, queries_stores  # noqa: E402, F401  they register their queries
