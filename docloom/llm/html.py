@@ -218,7 +218,7 @@ def order_of(page_id: int | None, url: str | None, digest: int) -> tuple:
 
 
 #: Bytes of html that make one part of the sorted pages; keys for each part that a sample brings to the driver.
-PART_BYTES, KEYS = 4 << 20, 8
+PART_BYTES, KEYS = 1 << 20, 8
 
 
 def bounds_of(pages: DataFrame, part_bytes: int) -> list[tuple]:
