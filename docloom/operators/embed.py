@@ -106,3 +106,15 @@ def embed(df: DataFrame, carry: list[str], text: str = "text", provider: str = "
             yield pd.concat([b[carry], pd.DataFrame(out, columns=[n for n, _ in extra])], axis=1)
 
     return given.mapInPandas(run, schema)
+
+
+def paired(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """chunks (doc_id, chunk_index, …) with embedding from vectors (doc_id, chunk_index, embedding). A document without any
+    vector keeps its chunks without; one that has some must have one for each chunk and none besides, else the write that
+    reads this fails."""
+    v = vectors.select("doc_id", "chunk_index", F.col("embedding").alias("__v"), F.lit(True).alias("__has"))
+    some = vectors.select("doc_id").distinct().withColumn("__some", F.lit(True))
+    both = chunks.drop("embedding").withColumn("__chunk", F.lit(True)).join(v, ["doc_id", "chunk_index"], "full_outer").join(some, "doc_id", "left")
+    wrong = F.col("__chunk").isNull() | F.col("__some").isNotNull() & F.col("__has").isNull()
+    checked_ = F.when(wrong, F.raise_error(F.concat(F.lit("chunks and embeddings of "), F.col("doc_id").cast("string"), F.lit(" differ in number")))).otherwise(F.col("__v"))
+    return both.withColumn("embedding", checked_.cast(vectors.schema["embedding"].dataType)).drop("__v", "__has", "__some", "__chunk")

@@ -165,3 +165,16 @@ def test_typed_metadata_keeps_its_types(spark):
     typed = df.select("id", F.try_parse_json("l").alias("metadata"), F.try_parse_json("r").alias("more"))
     found = catalog.merge_metadata(typed, F.col("id") == 0, F.col("more")).orderBy("id").select(F.to_json("metadata"), metadata.value(F.col("metadata"), "$.stars", "int"), metadata.value(F.col("metadata"), "$.c", "int")).collect()
     assert [tuple(r) for r in found[:2]] == [(given[0][2], 1200, 1), (None, None, None)] and found[5][0] == '{"a":"1"}'
+
+
+def test_chunks_and_vectors_must_agree_in_number(spark, store):
+    from docloom.operators import embed
+
+    chunks = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "doc_id string, chunk_index int, text string")
+    vectors = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, chunk_index int, embedding array<float>")
+    got = {(r.doc_id, r.chunk_index): r.embedding for r in embed.paired(chunks, vectors(("a", 0, [1.0]), ("a", 1, [2.0]))).collect()}
+    assert got == {("a", 0): [1.0], ("a", 1): [2.0], ("b", 0): None}
+    assert embed.paired(chunks, vectors()).count() == 3
+    for bad in (vectors(("a", 0, [1.0])), vectors(("a", 0, [1.0]), ("a", 1, [2.0]), ("a", 2, [3.0])), vectors(("c", 0, [1.0]))):
+        with pytest.raises(Exception, match="differ in number"):
+            embed.paired(chunks, bad).collect()
