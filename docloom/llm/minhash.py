@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, forget, kept, rows, text_bytes, texts_of, with_text
@@ -87,8 +87,8 @@ def agreeing_with(sig: np.ndarray, every: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, row (hash of id and text), node (hash of the shingles; null if there are none), n_shingles of every row;
-    sig and keys where the task meets the node first."""
+    """doc_id, row (hash of id and text), t (hash of the text), node (hash of the shingles; null if there are none), n_shingles
+    of every row; sig and keys where the task meets the node first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,10 +106,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 sigs.append(packed(least).view(np.int64) if new else None)
                 keys.append(band_keys(least).view(np.int64) if new else None)
             many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, many), pa.array(keys, many)], ["doc_id", "row", "node", "n_shingles", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, many), pa.array(keys, many)], ["doc_id", "row", "t", "node", "n_shingles", "sig", "keys"])
 
-    given = with_text(docs, [], F.col("doc_id").cast("long"), row_of())
-    return given.mapInArrow(run, "doc_id long, row long, node long, n_shingles long, sig array<long>, keys array<long>")
+    given = with_text(docs, [], F.col("doc_id").cast("long"), row_of(), F.xxhash64(text_bytes()).alias("t"))
+    return given.mapInArrow(run, "doc_id long, row long, t long, node long, n_shingles long, sig array<long>, keys array<long>")
 
 
 def row_of() -> Column:
@@ -188,17 +188,11 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int) -
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles (size of the set of word shingles), component_id (smallest doc_id reachable by links) of every row
-    of docs (doc_id, text). Linked are texts of whose shingles at least percent in a hundred are shared.
-
-    Words are lower-cased (A-Z); a text of fewer words is one shingle. Null, empty and blank texts have no shingles and are
-    linked with nothing. Rows of one set are one node, however many; repeated rows come out repeated. A null doc_id takes
-    part but is never a component's id unless all are null. Very long texts are read whole. No rows: no rows. Further
-    columns are ignored. Pairs that share a band are estimated from packed minima and confirmed on full sets: in buckets
-    of a few all pairs, in larger ones every text with the first; where that leaves a bucket in several components, its
-    texts are held against each other in tiles.
-    """
+def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """sketches() of docs (doc_id, text), and node, first (its least doc_id), root of every set of shingles: two written
+    tables. Pairs that share a band are estimated from packed minima and confirmed on full sets: in buckets of a few all
+    pairs, in larger ones every text with the first; where that leaves a bucket in several components, its texts are held
+    against each other in tiles."""
     spark, left = docs.sparkSession, []
 
     def written(df: DataFrame, label: str) -> DataFrame:
@@ -228,15 +222,43 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     members = open_.select("node", "root").distinct().join(family.withColumnRenamed("root", "family"), "node").join(nodes.select("node", "sig", "n"), "node")
     more = written(family_links(written(members, "families"), sets, percent, tile).distinct(), "more")
     root = components(edges.union(more))
-    named = written(nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
-    ids = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    member = kept(named.join(ids, "root").select("node", "component_id"), "members")[0]
+    named = kept(nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")[0]
     for path in left:
         forget(spark, path)
+    return drawn, named
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles (size of the set of word shingles), component_id (smallest doc_id reachable by links) of every row
+    of docs (doc_id, text). Linked are texts of whose shingles at least percent in a hundred are shared.
+
+    Words are lower-cased (A-Z); a text of fewer words is one shingle. Null, empty and blank texts have no shingles and are
+    linked with nothing. Rows of one set are one node, however many; repeated rows come out repeated. A null doc_id takes
+    part but is never a component's id unless all are null. Very long texts are read whole. No rows: no rows. Further
+    columns are ignored.
+    """
+    drawn, named = rooted(docs, size, percent, tile)
+    ids = kept(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")[0]
+    member = kept(named.join(ids, "root").select("node", "component_id"), "members")[0]
     without = drawn.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return drawn.filter("node IS NOT NULL").select("doc_id", "node", "n_shingles").join(member, "node").select("doc_id", "n_shingles", "component_id").union(without)
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """One row of each component, all columns: the first by doc_id (nulls last) and text hash, however often it is repeated.
+    Texts without words are one group."""
+    drawn, named = rooted(docs, size, percent, tile)
+    columns = ("root", "doc_id", "row", "t")
+    blank = drawn.filter("node IS NULL").withColumn("root", F.lit(None).cast("long")).select(*columns)
+    root = drawn.filter("node IS NOT NULL").join(named.select("node", "root"), "node").select(*columns).union(blank)
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "t"))
+    best = kept(root.groupBy("root").agg(first.alias("row")).select(F.col("row").alias("__row")), "firsts")[0]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("__row").orderBy(*others) if others else Window.partitionBy("__row").orderBy("__row")
+    mine = docs.withColumn("__row", row_of()).join(best, "__row", "left_semi")
+    return mine.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__row", "__n")
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

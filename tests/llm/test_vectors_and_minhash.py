@@ -262,3 +262,18 @@ def test_whitening_of_the_given_vectors(spark):
         z[at[r.vec_id], r.component - 1] = r.whitened
         assert r.deviation == int(((n * x[at[r.vec_id]] - s) ** 2).sum()) and abs(r.explained / (e[r.component - 1] / np.trace(cov)) - 1) < 1e-9
     assert np.abs(np.cov(z.T, bias=True) - np.eye(16)).max() < 1e-6 and got[0].identity_error < 1e-9
+
+
+def test_one_row_of_each_group_stays(spark, sample):
+    from docloom.llm import copies
+
+    rng = random.Random(12)
+    given = [(i, t, "s") for i, t, _ in sample] + [(1000 + i, t, "s") for i, t, _ in ODD] + [(None, "alone " * 9, "b"), (None, "alone " * 9, "a"), (None, None, "a"), (7, sample[3][1], "z"), (7, sample[3][1], "z")]
+    for g in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        given += [(2000 + 100 * g + i, edited(rng, words, rng.choice((0, 1, 2, 3, 4))), "g") for i in range(4 if g % 2 else 30)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(5)
+    rows = lambda found: sorted(((r.doc_id, r.text, r.source) for r in found.collect()), key=str)
+    want = rows(copies.one_of_each(df))  # the same links, found and compared in another way
+    assert rows(minhash.one_of_each(df, 5, 80)) == want and rows(minhash.one_of_each(df, 5, 80, tile=500)) == want
+    assert minhash.one_of_each(df.limit(0), 5).collect() == []
