@@ -20,6 +20,19 @@ def part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, _PARTS, i)
 
 
+def normalised(url: Column) -> Column:
+    """Scheme and host in lower case, default port and fragment dropped, query parameters sorted by name (stably), runs of
+    / made one and a trailing / dropped, but the path / kept. Other schemes and what is no URL stay as they are."""
+    scheme, port, path, query = F.lower(part(url, 1)), part(url, 3), part(url, 4), F.substring(part(url, 5), F.lit(2), F.length(url))
+    port = F.when((port == ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
+    path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", "")
+    path = F.when(path == "", "/").otherwise(path)
+    numbered = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(F.split(p, "=")[0].alias("k"), i.alias("i"), p.alias("p")))
+    sorted_ = F.array_join(F.transform(F.array_sort(numbered), lambda x: x["p"]), "&")
+    whole = F.concat(scheme, F.lit("://"), F.lower(part(url, 2)), port, path, F.when(sorted_ == "", "").otherwise(F.concat(F.lit("?"), sorted_)))
+    return F.when(url.rlike(_PARTS), whole).otherwise(url)
+
+
 def _cleaned(url: Column) -> Column:
     """Without control characters and spaces at the ends, tabs and line ends within, and with / for the \\ of the authority
     and path."""
@@ -52,10 +65,11 @@ def _sorted_query(query: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
 
 
-def normalised(url: Column) -> Column:
+def standard(url: Column) -> Column:
     """An http(s) URL as the public standard spells it: scheme and host canonical, default port and fragment dropped, .
     and .. resolved, path percent-encoded, query parameters sorted by name (stably) and form-encoded, runs of / made one
-    and a trailing / dropped, but the path / kept. Other schemes and what is no URL stay as they are."""
+    and a trailing / dropped, but the path / kept. Other schemes and what is no URL stay as they are. normalised() is the
+    plain form, which leaves characters and hosts as they are written."""
     return hosts.let(_cleaned(url), lambda clean: F.when(clean.rlike(_PARTS), F.coalesce(_whole(clean), url)).otherwise(url))
 
 

@@ -478,4 +478,4 @@ def public_addresses(spark, sf):
     dotted = F.concat_ws(".", o.cast("string"), F.concat(F.lit("0x"), F.hex(F.shiftright(r, 16))), F.concat(F.lit("0"), F.conv(F.shiftright(r, 8).bitwiseAND(F.lit(255)), 10, 8)), r.bitwiseAND(F.lit(255)).cast("string"))
     forms = [v.cast("string"), F.concat(F.lit("0X"), F.hex(v)), F.concat(F.lit("0"), F.conv(v, 10, 8)), F.concat(o.cast("string"), F.lit("."), r.cast("string")), F.concat(dotted, F.lit("."))]
     url = F.concat(F.lit("http://"), F.element_at(F.array(*forms), (i % 5 + 1).cast("int")))
-    return load(spark, sf, "pages").select("page_id", urls.normalised(url).alias("url"), urls.is_public(url).alias("is_public"))
+    return load(spark, sf, "pages").select("page_id", urls.standard(url).alias("url"), urls.is_public(url).alias("is_public"))

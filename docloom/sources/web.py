@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -166,14 +166,14 @@ def pages_to_markdown(pages: DataFrame, carry: list[str], escaped: bool = False)
     return given.mapInPandas(run, f"{schema}, markdown string")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """src, dst: links of pages (url, html) to addresses whose text starts with the page's origin, both normalised, once
-    each. Fragments and other origins are left out; relative ones that start with / are made whole."""
+def links(pages: DataFrame, form: Callable[[Column], Column] = urls.normalised) -> DataFrame:
+    """src, dst: links of pages (url, html) to addresses whose text starts with the page's origin, both normalised (or in
+    another form, such as urls.standard), once each. Fragments and other origins are left out; relative ones that start with / are made whole."""
     origin = F.lower(F.regexp_extract("url", r"^(?i)(https?://[^/?#]+)", 1))
     refs = pages.select(F.col("url"), origin.alias("origin"), F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))).alias("href"))
     href = F.when(F.col("href").rlike("^/(?!/)"), F.concat("origin", "href")).otherwise(F.col("href"))
     whole = refs.filter("origin <> ''").select("url", "origin", href.alias("href")).filter(F.startswith("href", "origin"))
-    return whole.select(urls.normalised(F.col("url")).alias("src"), urls.normalised(F.col("href")).alias("dst")).distinct()
+    return whole.select(form(F.col("url")).alias("src"), form(F.col("href")).alias("dst")).distinct()
 
 
 def crawl(pages: DataFrame, edges: DataFrame, start: str, most: int = MOST_PAGES) -> list[tuple[str, int]]:

@@ -41,7 +41,7 @@ def test_urls(spark, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
         df = spark.createDataFrame([(u,) for u in URLS], "u string")
-        assert {r.u: r.n for r in df.select("u", urls.normalised(F.col("u")).alias("n")).collect()} == URLS
+        assert {r.u: r.n for r in df.select("u", urls.standard(F.col("u")).alias("n")).collect()} == URLS
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
-    assert spark.createDataFrame([(None,)], "u string").select(urls.normalised(F.col("u")), urls.is_public(F.col("u"))).first() == (None, False)
+    assert spark.createDataFrame([(None,)], "u string").select(urls.standard(F.col("u")), urls.is_public(F.col("u"))).first() == (None, False)
