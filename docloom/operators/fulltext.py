@@ -82,7 +82,7 @@ def write_index(chunks: DataFrame, path: str, language: str | None = None, carry
     spark, name = chunks.sparkSession, stems.resolve_language(language)
     raw = lexemes(chunks, ["chunk_id", *carry], name)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = raw.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("part", F.spark_partition_id())
+    placed = raw.repartitionByRange(n, "term", "chunk_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "chunk_id")
     placed.write.partitionBy("part").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     postings.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.parquet(f"{path}/ranges")
