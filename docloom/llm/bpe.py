@@ -185,7 +185,8 @@ def groups(values: list, size: Callable, most: int = 1 << 21) -> Iterator[list]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str], ids: bool = True, spans: bool = False, decoded: bool = False, digests: bool = False) -> DataFrame:
     """carry and, as asked for, of every row's text: n_tokens; ids; starts, ends (characters of each token); decoded
     (bytes that the ids decode to); ids_sha256, decoded_sha256. Null text: as empty, no tokens. Any row stands for itself:
-    repeated rows come out repeated; columns of docs named as ours give way."""
+    repeated rows come out repeated; very long texts are encoded whole; no rows: no rows; columns of docs named as ours
+    give way."""
     extra = [T.StructField("n_tokens", T.LongType())]
     extra += [T.StructField("ids", T.ArrayType(T.LongType()))] * ids
     extra += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")] * spans

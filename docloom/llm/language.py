@@ -134,7 +134,8 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], carry: list[str]) -> DataFrame:
     """carry, lang_pred, score of every row's whole text. Null text or one without a letter: und, 0. Nothing learned: und,
-    0. Repeated rows come out repeated; columns of docs named as ours give way."""
+    0. Repeated rows come out repeated; very long texts are read whole; no rows: no rows; columns of docs named as ours
+    give way."""
     carry = carried(carry, ("lang_pred", "score"))
     given = with_text(docs, carry)
     schema = T.StructType([*carried_fields(docs, carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
