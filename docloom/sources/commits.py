@@ -30,8 +30,8 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Snapshot:
-    """One state of all tables: of each table its folders (rows and keys, by kind) with their bytes, and of each stream the
-    last batch."""
+    """One state of all tables: of each table its folders (rows and keys, by kind) with their bytes and the commit that
+    wrote them, and of each stream the last batch."""
 
     version: int = 0
     tables: dict[str, list[dict]] = field(default_factory=dict)
@@ -92,7 +92,8 @@ class Store:
     def _rows(self, name: str, at: Snapshot, folders: list[str] | None = None) -> DataFrame:
         """Rows that count, with their commit's number where the table has a key."""
         rows = self._load(at.folders(name) if folders is None else folders, self._kind(name))
-        if name not in self.keyed or len(at.folders(name, "keys")) < 2:
+        parts = at.tables.get(name, [])
+        if name not in self.keyed or len(at.folders(name, "keys")) < 2 and len({p.get("commit") for p in parts}) < 2 and all("commit" in p for p in parts):  # rows of one commit all count
             return rows
         return rows.join(self._keys(name, at), [self.keyed[name], SEQ], "left_semi")
 
@@ -125,11 +126,11 @@ class Store:
 
     # commits
 
-    def _write(self, df: DataFrame, name: str, kind: str) -> dict:
+    def _write(self, df: DataFrame, name: str, kind: str, commit: int) -> dict:
         folder = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         fs, p = _fs(self.spark, f"{self.root}/{folder}")
-        return {"folder": folder, "kind": kind, "bytes": fs.getContentSummary(p).getLength()}
+        return {"folder": folder, "kind": kind, "bytes": fs.getContentSummary(p).getLength(), "commit": commit}
 
     def commit(self, at: Snapshot, changes: dict[str, Change], batch: tuple[str, int] | None = None) -> Snapshot:
         """The state after the changes of one or several tables, all of them based on `at`. Raises Conflict if another
@@ -141,9 +142,9 @@ class Store:
             numbered = lambda df, change=change: df if change.numbered else df.withColumn(SEQ, F.lit(number).cast("long"))
             if change.add is not None:
                 rows = numbered(change.add) if name in self.keyed else change.add
-                parts.append(self._write(rows.select(*self._kind(name).names), name, "rows"))
+                parts.append(self._write(rows.select(*self._kind(name).names), name, "rows", number))
             if change.keys is not None:
-                parts.append(self._write(numbered(change.keys).select(self.keyed[name], SEQ), name, "keys"))
+                parts.append(self._write(numbered(change.keys).select(self.keyed[name], SEQ), name, "keys", number))
             tables[name] = parts
         made = Snapshot(number, tables, at.batches | ({batch[0]: batch[1]} if batch else {}))
         self._publish(made)

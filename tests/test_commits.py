@@ -111,6 +111,21 @@ def test_increments_by_key(spark, store):
         store.snapshot(1)
 
 
+def test_compaction_beside_a_large_folder_brings_no_replaced_rows_back(spark, store):
+    store.append(b=spark.range(2000).select((F.col("id") % 50).cast("string").alias("doc_id"), F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("t")))
+    for batch in ("x", "y"):
+        store.append(b=spark.createDataFrame([(str(i), 0, batch) for i in range(0, 50, 2)], B))
+    store.transact(lambda at: {"b": store.without("b", at, spark.createDataFrame([("1",)], "doc_id string"), "doc_id")})
+    want, sizes = rows(store.read("b")), [p["bytes"] for p in store.snapshot().tables["b"] if p["kind"] == "rows"]
+    assert len(want) == 25 + 24 * 40
+    store.compact("b", small=sizes[0])  # the first folder stays
+    at = store.snapshot()
+    assert len(at.folders("b")) == 2 and len(at.folders("b", "keys")) == 1
+    assert rows(store.read("b")) == want
+    store.compact("b", small=2 * sizes[0])
+    assert len(store.snapshot().folders("b")) == 1 and rows(store.read("b")) == want
+
+
 def test_deleting_a_collection_takes_all_that_hangs_on_it(spark, tmp_path, monkeypatch):
     lib = Library(spark, str(tmp_path), Config(as_of=NOW))
     one, two = lib.create_collection("One"), lib.create_collection("Two")
