@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,11 +72,13 @@ def silenced(alerts: DataFrame, silence: timedelta = SILENCE) -> DataFrame:
     return alerts.groupBy("alert_type").applyInPandasWithState(step, "alert_type string, triggered_at timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+HOUR, HELD = 3_600_000_000, 1 << 20  # microseconds; times that a task holds before they go into the state
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Suppress(StatefulProcessor):
-    """Of one alert type: the time of the last alert raised, and candidates that wait for the watermark."""
+    """Of one alert type: the time of the last alert raised, and candidates that wait for the watermark: of each hour the
+    sorted distinct times as one packed value, so that a trigger reads and writes the hours that it touches."""
 
     def __init__(self, silence: timedelta):
         self.silence = silence // timedelta(microseconds=1)
@@ -83,36 +86,65 @@ class _Suppress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
-        self.waiting = handle.getValueState("waiting", "us array<long>")
+        self.waiting = handle.getMapState("waiting", "hour long", "us binary")
 
-    def _state(self) -> tuple[int | None, list[int]]:
-        return self.last.get()[0] if self.last.exists() else None, list(self.waiting.get()[0]) if self.waiting.exists() else []
+    def _last(self) -> int | None:
+        return self.last.get()[0] if self.last.exists() else None
 
-    def _wait(self, waiting: list[int]) -> None:
-        """Keeps what waits, with one timer for the first of it."""
-        if waiting:
-            self.waiting.update((waiting,))
-            self.handle.registerTimer(-(-waiting[0] // 1000))
-        else:
-            self.waiting.clear()
+    def _times(self, hour: int) -> np.ndarray:
+        return np.frombuffer(self.waiting.getValue((hour,))[0], np.int64)
+
+    def _keep(self, new: list[np.ndarray]) -> None:
+        """Adds times to their hours."""
+        times = np.unique(np.concatenate(new))
+        for part in np.split(times, np.flatnonzero(np.diff(times // HOUR)) + 1):
+            hour = int(part[0] // HOUR)
+            have = self._times(hour) if self.waiting.containsKey((hour,)) else part[:0]
+            self.waiting.updateValue((hour,), (np.union1d(have, part).tobytes(),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        last, waiting = self._state()
-        new = {us for batch in rows for us in batch["us"].unique().tolist() if last is None or us - last >= self.silence}  # others are silent whatever comes
+        last, new, first = self._last(), [], None
+        for batch in rows:
+            us = np.unique(batch["us"].to_numpy(np.int64))
+            us = us if last is None else us[us - last >= self.silence]  # others are silent whatever comes
+            if len(us):
+                new.append(us)
+                first = int(us[0]) if first is None else min(first, int(us[0]))
+            if sum(map(len, new)) >= HELD:
+                self._keep(new)
+                new = []
         if new:
-            self._wait(sorted({*waiting, *new}))
+            self._keep(new)
+        if first is not None:  # what waited before has a timer
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000  # all up to here has come
-        last, waiting = self._state()
-        ripe, out = [us for us in waiting if us <= now], []
-        for us in ripe:
-            if last is None or us - last >= self.silence:
-                out.append(us)
-                last = us
-        if ripe:
-            self._wait([us for us in waiting[len(ripe) :] if last is None or us - last >= self.silence])
+        last, out, ripe, first = self._last(), [], False, None
+        for hour in sorted(k[0] for k in self.waiting.keys()):
+            if last is not None and (hour + 1) * HOUR <= last + self.silence:  # silent whatever comes
+                self.waiting.removeKey((hour,))
+                ripe = True
+                continue
+            times = self._times(hour)
+            n = int(np.searchsorted(times, now, "right"))
+            at = 0 if last is None else int(np.searchsorted(times, last + self.silence))
+            while at < n:
+                last = int(times[at])
+                out.append(last)
+                at = int(np.searchsorted(times, last + self.silence))
+            left = times[max(n, at) :]
+            ripe = ripe or len(left) < len(times)
+            if not len(left):
+                self.waiting.removeKey((hour,))
+                continue
+            if len(left) < len(times):
+                self.waiting.updateValue((hour,), (left.tobytes(),))
+            first = int(left[0])
+            break  # later hours have nothing ripe
+        if ripe and first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         if out:
             self.last.update((last,))
             self.handle.registerTimer(-(-(last + self.silence) // 1000))  # by then the last alert is forgotten
