@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ from ..functions.rules import PROVIDERS
 Embedder = Callable[[], Callable[[list[str]], list]]
 REGISTRY: dict[str, Embedder] = {}
 BATCH, RETRIES, DELAY, LOCAL = 10, 3, 0.25, "ollama"
+HELD = 500  # rows whose vectors a task holds at once
+MEMO = 1 << 17  # words whose places an embedder remembers
 
 
 def register(provider: str, embedder: Embedder) -> None:
@@ -28,16 +32,21 @@ def hashing_embedder(dimension: int) -> Embedder:
     """A deterministic stand-in for a model: words are added up as signed hashed positions, made of length one."""
 
     def make():
+        @lru_cache(MEMO)
+        def place(word: str) -> int:
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            return 2 * (h % dimension) + (h >> 63)
+
         def embed(texts: list[str]) -> list:
-            out = []
-            for t in texts:
-                v = np.zeros(dimension)
-                for w in t.lower().split():
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                    v[h % dimension] += 1 if h >> 63 else -1
-                size = np.sqrt(v @ v)
-                out.append((v / size if size else v + 1 / np.sqrt(dimension)).tolist())
-            return out
+            words = [t.lower().split() for t in texts]
+            row = np.repeat(np.arange(len(texts)) * (2 * dimension), [len(w) for w in words])
+            at = np.fromiter(map(place, chain.from_iterable(words)), np.int64, len(row))
+            n = np.bincount(row + at, minlength=len(texts) * 2 * dimension).reshape(len(texts), dimension, 2)
+            v = (n[:, :, 1] - n[:, :, 0]).astype(float)
+            size = np.sqrt((v * v).sum(axis=1))
+            v[size == 0] = 1 / np.sqrt(dimension)
+            size[size == 0] = 1
+            return list(v / size[:, None])
 
         return embed
 
@@ -48,11 +57,15 @@ for _name, (_, _dimension) in PROVIDERS.items():
     register(_name, hashing_embedder(_dimension))
 
 
-def checked(vector) -> list[float]:
+def valid(vector) -> np.ndarray:
     v = np.asarray(vector, float)
     if v.ndim != 1 or not len(v) or not np.isfinite(v).all():
         raise ValueError("an embedding needs finite numbers")
-    return v.tolist()
+    return v
+
+
+def checked(vector) -> list[float]:
+    return valid(vector).tolist()
 
 
 def with_retries(run: Callable[[list[str]], list], texts: list[str], retries: int = RETRIES, delay: float = DELAY) -> list:
@@ -69,7 +82,7 @@ def with_retries(run: Callable[[list[str]], list], texts: list[str], retries: in
 
 def embed(df: DataFrame, carry: list[str], text: str = "text", provider: str = "provider", batch: int = BATCH, delay: float = DELAY) -> DataFrame:
     """carry, embedding, embedding_provider, embedding_model, embedding_dimensions, used_fallback of every row. Rows go to
-    the provider their column names, in runs of `batch`; where it fails the local one takes over (the local one is tried
+    the provider their column names, in runs of `batch` at most, and HELD rows' vectors go back at a time; where it fails the local one takes over (the local one is tried
     again first). If that fails too, so does the task."""
     if batch <= 0:
         raise ValueError("batch must be positive")
@@ -86,10 +99,14 @@ def embed(df: DataFrame, carry: list[str], text: str = "text", provider: str = "
             vectors = with_retries(ready[name], texts, RETRIES if name == LOCAL else 0, delay)
             if len(vectors) != len(texts):
                 raise ValueError("as many embeddings as texts are needed")
-            return [checked(v) for v in vectors]
+            return [valid(v).astype(np.float32) for v in vectors]
+
+        def parts() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), HELD):
+                    yield b.iloc[at : at + HELD].reset_index(drop=True)
 
-        for b in batches:
-            b = b.reset_index(drop=True)
+        for b in parts():
             out: list = [None] * len(b)
             for name, part in b.groupby("__provider"):
                 for at in range(0, len(part), batch):

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 import zipfile
@@ -5,6 +6,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -434,6 +436,23 @@ def test_embedding(spark, monkeypatch):
         embed.embed(df, ["id"], batch=0)
 
 
+def test_embedding_gives_vectors_back_in_small_parts(spark, monkeypatch):
+    rows = spark.range(3000, numPartitions=1).select("id", F.concat(F.lit("text "), "id").alias("text"), F.lit("voyage").alias("provider"))
+    seen = {}
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, run, schema: seen.update(run=run) or self)
+    embed.embed(rows, ["id"])
+    batch = pd.DataFrame({"id": range(3000), "__text": [f"text {i} text Word" for i in range(3000)], "__provider": ["voyage"] * 3000})
+    parts = list(seen["run"](iter([batch])))
+    assert max(map(len, parts)) <= 500 and [i for p in parts for i in p["id"]] == list(range(3000))
+    for i in (0, 2999):
+        v = np.zeros(1024)
+        for w in ("text", str(i), "text", "word"):
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            v[h % 1024] += 1 if h >> 63 else -1
+        got = parts[0 if i == 0 else -1]["embedding"].iloc[0 if i == 0 else -1]
+        assert np.array_equal(np.asarray(got, np.float32), (v / np.sqrt(v @ v)).astype(np.float32))
+
+
 def test_tools(spark, tmp_path):
     lib = Library(spark, str(tmp_path), Config(as_of=NOW, budget=0.0005, trust_scoring=True))
     c = lib.create_collection("Guides")
