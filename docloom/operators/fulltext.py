@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from ..session import scratch
 from . import search
 
 MEMO = 1 << 18  # stems that a task remembers
+HELD = 256  # texts whose words a task holds at once
 PRUNED = 1000  # distinct prefixes up to which a reader names the index's parts; more read all of them
 
 
@@ -41,12 +41,12 @@ class Stemmer:
 
 def lexemes(df: DataFrame, carry: list[str], language: str, column: str = "text") -> DataFrame:
     """carry, term and positions (from 1) of each row's stems. Stop words have no row but count as positions; rows without
-    words have none. The words of a batch are made distinct before they are stemmed."""
+    words have none. The words of HELD rows are made distinct before they are stemmed."""
     schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem = Stemmer(language)
-        for b in batches:
+        for b in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
             lists = b.column("__t")
             words = lists.flatten().dictionary_encode()
             made = [stem(w) for w in words.dictionary.to_pylist()]
@@ -171,21 +171,33 @@ def scan_search(chunks: DataFrame, query: str, language: str | None = None, top:
     nos = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), i) for i, p in enumerate(wanted, 1)])) if wanted else F.array().cast("array<int>")
     found = rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.explode(nos).alias("no"), "positions")
     need = chunks.sparkSession.createDataFrame([(0, len(wanted))], "query_id long, need long")
-    best = search.ranked(cover_densities(gathered(found, need)), by, search.check_top(top))
+    best = best_hits(gathered(found, need), by, search.check_top(top))
     return best.withColumn("score", max_normalised(F.col(by)))
 
 
 def cover_densities(hits: DataFrame) -> DataFrame:
-    """query_id, chunk_id, tf (places that match some prefix) and density of index_hits()."""
-    schema = f"query_id {dict(hits.dtypes)['query_id']}, chunk_id {dict(hits.dtypes)['chunk_id']}, tf long, density double"
+    """tf (places that match some prefix) and density of index_hits(), which may have further columns, in place of w."""
+    counted = hits if "tf" in hits.columns else hits.withColumn("tf", matches())
+    carry = [c for c in counted.columns if c != "w"]
+    schema = T.StructType([*[counted.schema[c] for c in carry], T.StructField("density", T.DoubleType())])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lists = [[list(p) for p in w] for w in b["w"]]
-            tf = [len({p for ps in w for p in ps}) for w in lists]
-            yield pd.DataFrame({"query_id": b["query_id"], "chunk_id": b["chunk_id"], "tf": tf, "density": [search.cover_density(w) for w in lists]})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
+            density = pa.array([search.cover_density(w) for w in b.column("w").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], density], schema.names)
 
-    return hits.mapInPandas(score, schema)
+    return counted.mapInArrow(score, schema)
+
+
+def matches() -> Column:
+    return F.size(F.array_distinct(F.flatten("w"))).cast("long")
+
+
+def best_hits(hits: DataFrame, by: str, top: int) -> DataFrame:
+    """query_id, chunk_id, tf, density, rank of each query's best; ranked by tf, only those reach Python."""
+    if by == "tf":
+        return cover_densities(search.ranked(hits.withColumn("tf", matches()), by, top)).select("query_id", "chunk_id", "tf", "density", "rank")
+    return search.ranked(cover_densities(hits).select("query_id", "chunk_id", "tf", "density"), by, top)
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, top: int = search.LEXICAL_TOP, by: str = "density") -> DataFrame:
@@ -193,7 +205,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, top: int =
     (0 stays 0)."""
     if by not in ("density", "tf"):
         raise ValueError(f"no such order: {by}")
-    best = search.ranked(cover_densities(index_hits(spark, path, queries)), by, search.check_top(top))
+    best = best_hits(index_hits(spark, path, queries), by, search.check_top(top))
     return best.withColumn("score", max_normalised(F.col(by)))
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,24 @@ def test_search_stems_and_reads_an_index(spark, tmp_path):
     assert sorted((r.chunk_id, r.lexical_score) for r in plan.search_rag(chunks, docs, **ask, index=str(tmp_path / "i")).collect()) == scanned
     with pytest.raises(ValueError):
         plan.search_rag(chunks, docs, **{**ask, "collection": None}, index=str(tmp_path / "i"))
+
+
+def test_words_of_few_texts_are_held_at_once(spark, monkeypatch):
+    df, seen = spark.range(3, numPartitions=1).select("id", F.lit("x").alias("text")), {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: seen.update(run=run) or self)
+    fulltext.lexemes(df, ["id"], "english")
+    n = 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([["gardens", "the", f"w{i}", "garden"] for i in range(n)])], ["id", "__t"])
+    parts = list(seen["run"](iter([batch])))
+    assert max(len(set(p.column("id").to_pylist())) for p in parts) <= 256
+    got = sorted((r["id"], r["term"], tuple(r["positions"])) for p in parts for r in p.to_pylist())
+    assert got == sorted((i, t, x) for i in range(n) for t, x in (("garden", (1, 4)), (f"w{i}", (3,))))
+
+
+def test_by_frequency_only_the_best_reach_python(spark, monkeypatch):
+    hits = spark.range(50).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("chunk_id"), F.array(F.sequence(F.lit(1), (F.col("id") + 1).cast("int")), F.array(F.lit(2))).alias("w"))
+    want = search.ranked(fulltext.cover_densities(hits), "tf", 4).select("query_id", "chunk_id", "tf", "density", "rank").collect()
+    seen, real = [], type(hits).mapInArrow
+    monkeypatch.setattr(type(hits), "mapInArrow", lambda self, *a, **k: seen.append(self.count()) or real(self, *a, **k))
+    assert sorted(fulltext.best_hits(hits, "tf", 4).collect()) == sorted(want) and seen == [4]
+    assert [r.chunk_id for r in sorted(want, key=lambda r: r.rank)] == [49, 48, 47, 46]
