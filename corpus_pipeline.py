@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, minhash, mixing, quality, substrings
+from docloom.llm import bpe, mixing, quality, substrings, wide_simhash
 from docloom.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,10 +22,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) one row: the first by doc_id, rows
+    """Of each group of near copies (SimHash of 5-word shingles, then Jaccard similarity 0.8 or more) one row: the first by doc_id, rows
     without one last, so repeated and null ids count as rows of their own. Null and blank texts are one group; no rows: no
     rows."""
-    return minhash.one_of_each(docs.select(*COLUMNS), size=5, percent=80).select(*COLUMNS)
+    return wide_simhash.one_of_each(docs.select(*COLUMNS), size=5, percent=80).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,28 +46,28 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(keyed: DataFrame, find: Callable[[np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, ...]]], names: list[str]) -> DataFrame:
-    """What `find` yields, as columns of longs, for runs of complete buckets of keyed (key and one more long, the latter
-    as unsigned): arrays sorted by key and value."""
+    """What `find` yields, as columns of longs, for runs of complete buckets of keyed (key and more longs, the latter as
+    unsigned): arrays sorted by key and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, value):
-            if found := [x for x in find(key, value) if len(x[0])]:
+        def out(key, *values):
+            if found := [x for x in find(key, *values) if len(x[0])]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)], names)
 
-        parts: list[tuple[np.ndarray, np.ndarray]] = []  # the rows since the last complete bucket
+        parts: list[tuple[np.ndarray, ...]] = []  # the rows since the last complete bucket
         for batch in batches:
-            key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            key, *values = batch.column(0).to_numpy(), *(x.to_numpy().view(np.uint64) for x in batch.columns[1:])
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))  # sorted within the partition
             if parts and (cut or parts[0][0][0] != key[-1]):
                 if cut:
-                    parts.append((key[:cut], value[:cut]))
+                    parts.append((key[:cut], *(x[:cut] for x in values)))
                 yield from out(*map(np.concatenate, zip(*parts, strict=True)))
                 parts = []
             elif cut:
-                yield from out(key[:cut], value[:cut])
-            parts.append((key[cut:], value[cut:]))
+                yield from out(key[:cut], *(x[:cut] for x in values))
+            parts.append((key[cut:], *(x[cut:] for x in values)))
         if parts:
             yield from out(*map(np.concatenate, zip(*parts, strict=True)))
 

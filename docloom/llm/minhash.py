@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -133,10 +134,32 @@ def linked(shared, total, percent: int):
     return (100 + percent) * shared >= percent * total
 
 
-def tile_links(node: list[int], root: list[int], side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+class Method(NamedTuple):
+    """What rooted() finds and estimates pairs with."""
+
+    sketches: Callable[[DataFrame, int], DataFrame]  # of docs and the size of shingles, as sketches() gives; keys are its own
+    found: Callable[[DataFrame, int], DataFrame]  # bucket, src, dst of nodes and percent, as candidates() gives
+    close: Callable[[str, str, int], Column]  # whether two columns of signatures may be of texts of percent
+    near: Callable[[np.ndarray, np.ndarray, int], np.ndarray]  # the same of one signature and each row of others
+
+
+def found_by_bands(nodes: DataFrame, percent: int) -> DataFrame:
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    return by_bucket(keyed, lambda key, node: candidates(key, node) if len(key) else (), ["bucket", "src", "dst"])
+
+
+MINHASH = Method(
+    sketches,
+    found_by_bands,
+    lambda a, b, percent: agreeing(a, b) >= least_agreeing(percent),
+    lambda sig, every, percent: agreeing_with(sig, every) >= least_agreeing(percent),
+)
+
+
+def tile_links(node: list[int], root: list[int], side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, near=MINHASH.near) -> list[tuple[int, int]]:
     """Links that connect what all links between texts of different roots connect. side: texts of side 1 are held against
     those of side 2 only, those of side 0 against each other."""
-    least, up, out = least_agreeing(percent), {r: r for r in root}, []
+    up, out = {r: r for r in root}, []
 
     def find(r: int) -> int:
         while up[r] != r:
@@ -148,7 +171,7 @@ def tile_links(node: list[int], root: list[int], side: np.ndarray, sig: np.ndarr
     for i in np.flatnonzero(side < 2).tolist():
         others = np.arange(i + 1, len(node)) if side[i] == 0 else np.flatnonzero(side == 2)
         others = others[number[others] != number[i]]
-        for j in others[agreeing_with(sig[i], sig[others]) >= least].tolist():
+        for j in others[near(sig[i], sig[others], percent)].tolist():
             a, b = find(root[i]), find(root[j])
             if a != b and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]) + len(sets[j]), percent):
                 up[max(a, b)] = min(a, b)
@@ -156,7 +179,7 @@ def tile_links(node: list[int], root: list[int], side: np.ndarray, sig: np.ndarr
     return out
 
 
-def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int, near=MINHASH.near) -> DataFrame:
     """src, dst: links within families, members (family, node, root, sig, n) of whose texts those of one root are connected.
 
     The texts of a family's largest root are not held against each other. The rest of a family is dealt into blocks of
@@ -182,17 +205,17 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int) -
     def run(group: pa.Table) -> pa.Table:
         sig = np.array(group["sig"].to_pylist(), np.int64).view(np.uint64)
         own = [np.array(x, np.int64) for x in group["own"].to_pylist()]
-        got = tile_links(group["node"].to_pylist(), group["root"].to_pylist(), group["side"].to_numpy(), sig, own, percent)
+        got = tile_links(group["node"].to_pylist(), group["root"].to_pylist(), group["side"].to_numpy(), sig, own, percent, near)
         return pa.table({"src": pa.array([a for a, _ in got], pa.int64()), "dst": pa.array([b for _, b in got], pa.int64())})
 
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "src long, dst long")
 
 
-def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, by: Method = MINHASH) -> tuple[DataFrame, DataFrame]:
     """sketches() of docs (doc_id, text), and node, first (its least doc_id), root of every set of shingles: two written
-    tables. Pairs that share a band are estimated from packed minima and confirmed on full sets: in buckets of a few all
-    pairs, in larger ones every text with the first; where that leaves a bucket in several components, its texts are held
-    against each other in tiles."""
+    tables. Pairs that share a band are estimated from packed minima (or what else `by` names) and confirmed on full sets: in
+    buckets of a few all pairs, in larger ones every text with the first; where that leaves a bucket in several components,
+    its texts are held against each other in tiles."""
     spark, left = docs.sparkSession, []
 
     def written(df: DataFrame, label: str) -> DataFrame:
@@ -200,16 +223,15 @@ def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: i
         left.append(path)
         return made
 
-    drawn = kept(sketches(docs, size), "sketches")[0]
+    drawn = kept(by.sketches(docs, size), "sketches")[0]
     some = drawn.filter("node IS NOT NULL")
     first = some.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"))
-    marks = some.filter("keys IS NOT NULL").select("node", "sig", "keys").dropDuplicates(["node"])
+    marks = some.filter("sig IS NOT NULL").drop("doc_id", "row", "t", "n_shingles").dropDuplicates(["node"])
     nodes = written(first.join(marks, "node"), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    found = written(by_bucket(keyed, lambda key, node: candidates(key, node) if len(key) else (), ["bucket", "src", "dst"]).distinct(), "candidates")
+    found = written(by.found(nodes, percent).distinct(), "candidates")
     one = lambda name, sig: nodes.select(F.col("node").alias(name), F.col("sig").alias(sig))
     pairs = written(found.filter("src <> dst").select("src", "dst").distinct(), "pairs")
-    close = written(pairs.join(one("src", "a"), "src").join(one("dst", "b"), "dst").filter(agreeing("a", "b") >= least_agreeing(percent)).select("src", "dst"), "close")
+    close = written(pairs.join(one("src", "a"), "src").join(one("dst", "b"), "dst").filter(by.close("a", "b", percent)).select("src", "dst"), "close")
     ends = close.select(F.col("src").alias("node")).union(close.select("dst")).union(found.filter("bucket <> 0").select("dst")).distinct()
     sets = written(sets_of(docs, nodes.select("row", "node").join(ends, "node", "left_semi"), size), "shingles")
     both = close.join(sets.select(F.col("node").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("own").alias("b")), "dst")
@@ -220,7 +242,7 @@ def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: i
     open_ = written(large.join(parted, "bucket", "left_semi"), "parted")
     family = components(open_.select("src", F.col("node").alias("dst")))
     members = open_.select("node", "root").distinct().join(family.withColumnRenamed("root", "family"), "node").join(nodes.select("node", "sig", "n"), "node")
-    more = written(family_links(written(members, "families"), sets, percent, tile).distinct(), "more")
+    more = written(family_links(written(members, "families"), sets, percent, tile, by.near).distinct(), "more")
     root = components(edges.union(more))
     named = kept(nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")[0]
     for path in left:
@@ -244,10 +266,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return drawn.filter("node IS NOT NULL").select("doc_id", "node", "n_shingles").join(member, "node").select("doc_id", "n_shingles", "component_id").union(without)
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, by: Method = MINHASH) -> DataFrame:
     """One row of each component, all columns: the first by doc_id (nulls last) and text hash, however often it is repeated.
     Texts without words are one group."""
-    drawn, named = rooted(docs, size, percent, tile)
+    drawn, named = rooted(docs, size, percent, tile, by)
     columns = ("root", "doc_id", "row", "t")
     blank = drawn.filter("node IS NULL").withColumn("root", F.lit(None).cast("long")).select(*columns)
     root = drawn.filter("node IS NOT NULL").join(named.select("node", "root"), "node").select(*columns).union(blank)
