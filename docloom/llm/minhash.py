@@ -138,12 +138,12 @@ class Method(NamedTuple):
     """What rooted() finds and estimates pairs with."""
 
     sketches: Callable[[DataFrame, int], DataFrame]  # of docs and the size of shingles, as sketches() gives; keys are its own
-    found: Callable[[DataFrame, int], DataFrame]  # bucket, src, dst of nodes and percent, as candidates() gives
+    found: Callable[[DataFrame, int, Callable[[DataFrame, str], DataFrame]], DataFrame]  # bucket, src, dst of nodes and percent, as candidates() gives; what writes a scratch table
     close: Callable[[str, str, int], Column]  # whether two columns of signatures may be of texts of percent
     near: Callable[[np.ndarray, np.ndarray, int], np.ndarray]  # the same of one signature and each row of others
 
 
-def found_by_bands(nodes: DataFrame, percent: int) -> DataFrame:
+def found_by_bands(nodes: DataFrame, percent: int, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     return by_bucket(keyed, lambda key, node: candidates(key, node) if len(key) else (), ["bucket", "src", "dst"])
 
@@ -214,8 +214,8 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int, tile: int, n
 def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, by: Method = MINHASH) -> tuple[DataFrame, DataFrame]:
     """sketches() of docs (doc_id, text), and node, first (its least doc_id), root of every set of shingles: two written
     tables. Pairs that share a band are estimated from packed minima (or what else `by` names) and confirmed on full sets: in
-    buckets of a few all pairs, in larger ones every text with the first; where that leaves a bucket in several components,
-    its texts are held against each other in tiles."""
+    buckets of a few all pairs, in larger ones every text with the first; where that leaves those of one first in several
+    components, they are held against each other in tiles."""
     spark, left = docs.sparkSession, []
 
     def written(df: DataFrame, label: str) -> DataFrame:
@@ -228,18 +228,19 @@ def rooted(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: i
     first = some.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     marks = some.filter("sig IS NOT NULL").drop("doc_id", "row", "t", "n_shingles").dropDuplicates(["node"])
     nodes = written(first.join(marks, "node"), "nodes")
-    found = written(by.found(nodes, percent).distinct(), "candidates")
+    found = written(by.found(nodes, percent, written).select((F.col("bucket") != 0).alias("large"), "src", "dst").distinct(), "candidates")
     one = lambda name, sig: nodes.select(F.col("node").alias(name), F.col("sig").alias(sig))
     pairs = written(found.filter("src <> dst").select("src", "dst").distinct(), "pairs")
     close = written(pairs.join(one("src", "a"), "src").join(one("dst", "b"), "dst").filter(by.close("a", "b", percent)).select("src", "dst"), "close")
-    ends = close.select(F.col("src").alias("node")).union(close.select("dst")).union(found.filter("bucket <> 0").select("dst")).distinct()
+    ends = close.select(F.col("src").alias("node")).union(close.select("dst")).union(found.filter("large").select("dst")).distinct()
     sets = written(sets_of(docs, nodes.select("row", "node").join(ends, "node", "left_semi"), size), "shingles")
     both = close.join(sets.select(F.col("node").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("own").alias("b")), "dst")
     edges = written(both.filter(linked(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"), percent)).select("src", "dst"), "near")
     root = written(components(edges), "roots")
-    large = found.filter("bucket <> 0").select("bucket", "src", F.col("dst").alias("node")).join(root, "node", "left").select("bucket", "src", "node", F.coalesce("root", "node").alias("root"))
-    parted = large.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    open_ = written(large.join(parted, "bucket", "left_semi"), "parted")
+    stars = found.filter("large").select("src", F.col("dst").alias("node"))  # buckets of one first are one star, a text once in it
+    large = written(stars.join(root, "node", "left").select("src", "node", F.coalesce("root", "node").alias("root")), "stars")
+    parted = large.groupBy("src").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("src")
+    open_ = written(large.join(parted, "src", "left_semi"), "parted")
     family = components(open_.select("src", F.col("node").alias("dst")))
     members = open_.select("node", "root").distinct().join(family.withColumnRenamed("root", "family"), "node").join(nodes.select("node", "sig", "n"), "node")
     more = written(family_links(written(members, "families"), sets, percent, tile, by.near).distinct(), "more")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import acos, ceil, comb, log2, pi
 
@@ -15,7 +15,8 @@ from . import minhash
 from .common import rows, text_bytes, texts_of, with_text
 from .copies import by_bucket, node_of, shingles
 
-#: A fingerprint has WORDS longs. The first SCREEN of them go into the buckets, where they are compared first.
+#: A fingerprint has WORDS longs. The first SCREEN of them go into the buckets, where they are compared first; all of them only
+#: of what hangs together there in large groups.
 WORDS, SCREEN = 16, 2
 BITS = 64 * WORDS
 MISS = 1e-6  # chance that a pair of just the similarity asked for shares no block, and that it is farther apart than a distance allows
@@ -99,10 +100,10 @@ def together(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | list
     n, pairs = len(sig), []
     step, found = max(1, STRIP // n), 0
     for at in range(0, n - 1, step):
-        differ = np.zeros((min(step, n - at), n - at), np.uint8)
+        differ = np.zeros((min(step, n - at), n - at), np.uint8 if sig.shape[1] < 4 else np.uint16)
         for word in sig.T:
             differ += np.bitwise_count(word[at : at + step, None] ^ word[None, at:])
-        np.fill_diagonal(differ, 255)
+        np.fill_diagonal(differ, np.iinfo(differ.dtype).max)
         some = np.flatnonzero(differ.min(axis=1) <= most)  # of unlike fingerprints few rows
         i, j = np.nonzero(differ[some] <= most)
         i = some[i]
@@ -199,25 +200,39 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, row long, t long, node long, n_shingles long, sig array<long>")
 
 
-def found(nodes: DataFrame, percent: int) -> DataFrame:
-    """bucket, src, dst (candidates()) of nodes (node, sig) that share a block."""
-    places, most = blocks(nodes.count(), percent), most_differing(percent, 64 * SCREEN)
-    names = [f"s{i}" for i in range(SCREEN)]
+def in_buckets(nodes: DataFrame, places: np.ndarray, words: int, percent: int, members: bool = False) -> DataFrame:
+    """bucket, src, dst (candidates()) of nodes (node, sig) that share a block, by the first words of their fingerprints.
+    members: large groups give their members only, each as src and dst."""
+    most, names = most_differing(percent, 64 * words), [f"s{i}" for i in range(words)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             sig = b.column("sig").flatten().to_numpy().reshape(-1, WORDS)
             keys = block_keys(sig.view(np.uint64), places)
-            held = [np.repeat(x, len(places)) for x in (b.column("node").to_numpy(), *sig[:, :SCREEN].T)]
+            held = [np.repeat(x, len(places)) for x in (b.column("node").to_numpy(), *sig[:, :words].T)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel().view(np.int64), *held)], ["key", "node", *names])
 
     def pick(key, node, *sig):
-        return candidates(key, node, np.stack(sig, axis=1), most) if len(key) else ()
+        got = list(candidates(key, node, np.stack(sig, axis=1), most)) if len(key) else []
+        if not members:
+            return got
+        large = [dst for bucket, _, dst in got if bucket[0]]
+        once = np.unique(np.concatenate(large)) if large else np.empty(0, np.uint64)
+        return [x for x in got if not x[0][0]] + [(np.ones(len(once), np.uint64), once, once)]
 
     keyed = nodes.select("node", "sig").mapInArrow(spread, "key long, node long, " + ", ".join(f"{x} long" for x in names))
     return by_bucket(keyed, pick, ["bucket", "src", "dst"])
 
 
+def found(nodes: DataFrame, percent: int, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """bucket, src, dst (candidates()) of nodes (node, sig) that share a block. Large groups that hang together by the first
+    words, as unlike texts do around many near copies, are parted by whole fingerprints in the same buckets."""
+    places = blocks(nodes.count(), percent)
+    screened = written(in_buckets(nodes, places, SCREEN, percent, members=True).distinct(), "screened")
+    crowd = screened.filter("bucket <> 0").select(F.col("dst").alias("node"))
+    return screened.filter("bucket = 0").union(in_buckets(nodes.join(crowd, "node", "left_semi"), places, WORDS, percent))
+
+
 #: Steps of minhash.rooted() by SimHash.
 SIMHASH = minhash.Method(
     sketches,

@@ -105,3 +105,35 @@ def test_one_row_of_each_group_stays(spark, sample):
     want = rows(copies.one_of_each(df))  # the same links, found and compared in another way
     assert rows(wide_simhash.one_of_each(df, 5, 80)) == want and rows(wide_simhash.one_of_each(df, 5, 80, tile=500)) == want
     assert wide_simhash.one_of_each(df.limit(0), 5, 80).collect() == []
+
+
+def test_a_large_group_is_held_once_whatever_its_blocks(spark, monkeypatch):
+    """150 near copies, and 150 texts that share half of one: these hang together by the first bits, not by all."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    given = [(i, edited(rng, words, rng.choice((0, 1, 2, 3, 4)))) for i in range(150)]
+    given += [(1000 + i, " ".join(words[:75] + [f"x{rng.randrange(90000)}" for _ in range(75)])) for i in range(150)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    counts, real = {}, minhash.kept
+
+    def counting(made, label):
+        table = real(made, label)
+        counts[label] = table[0].count()
+        return table
+
+    monkeypatch.setattr(minhash, "kept", counting)
+    got = sorted(r.doc_id for r in wide_simhash.one_of_each(df, 5, 80).collect())
+    assert got == sorted(r.doc_id for r in copies.one_of_each(df).collect()) and set(range(1000, 1150)) < set(got)
+    assert counts["families"] <= 150  # before: all 273 that differ
+    assert counts["parted"] <= 12 * 150  # before: 5,069, a text once for each bucket
+
+
+def test_large_groups_are_near_by_whole_fingerprints(spark):
+    """150 fingerprints whose first bits are near and whose others are not, beside 50 that are near."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(-(1 << 63), (1 << 63) - 1, (200, 16))
+    sig[:, :2] = sig[0, :2]
+    sig[150:] = sig[150] ^ rng.integers(0, 4, (50, 16))
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sig)], "node long, sig array<long>").cache()
+    got = wide_simhash.found(nodes, 80, lambda made, label: made).collect()
+    assert {x for r in got if r.bucket for x in (r.src, r.dst)} == set(range(150, 200))
